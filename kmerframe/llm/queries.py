@@ -5,6 +5,7 @@ from __future__ import annotations
 from .debruijn_dedup import op4_debruijn_dedup
 from .decontaminate import op7_benchmark_decontamination
 from .embedding_dedup import op10_embedding_near_dedup
+from .html_extract import op3_html_extraction
 from .language_id import op6_language_id
 from .mixing import op2_source_mixing
 from .ngram_join import op5_ngram_jaccard_join
@@ -12,7 +13,7 @@ from .quality import op9_quality_classifier
 from .suffix_dedup import op1_suffix_array_dedup
 from .toxicity import op8_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op4_debruijn_dedup, op5_ngram_jaccard_join, op6_language_id, op7_benchmark_decontamination, op8_toxicity, op9_quality_classifier, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op3_html_extraction, op4_debruijn_dedup, op5_ngram_jaccard_join, op6_language_id, op7_benchmark_decontamination, op8_toxicity, op9_quality_classifier, op10_embedding_near_dedup)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
