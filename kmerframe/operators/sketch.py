@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
 from ..plans.params import SketchParams
+from ..plans.session import ship
 
 CEILING = 65535  # fixed value: largest count
 PART = 1 << 20
@@ -65,6 +66,7 @@ def _scan(p: SketchParams, alphabet: str, keys: list[str], raw_kmers: bool, ever
 
 def occurrences(seqs: DataFrame, p: SketchParams, alphabet: str = "dna", keys: tuple[str, ...] = ("gid",), raw_kmers: bool = False, every: bool = False) -> DataFrame:
     """(keys, code, cnt): codes as counted within a batch, or each occurrence by itself."""
+    ship(seqs.sparkSession)
     d = seqs.select(*keys, F.col("seq").cast("string").alias("seq"))
     kinds = ", ".join(f"{n} {t}" for n, t in d.dtypes if n in keys)
     return d.mapInArrow(_scan(p, alphabet, list(keys), raw_kmers, every), f"{kinds}, code long, cnt long")
@@ -103,22 +105,23 @@ def kmers(seqs: DataFrame, p: SketchParams, alphabet: str = "dna") -> DataFrame:
     return occurrences(seqs, p, alphabet, raw_kmers=True).groupBy("gid", "code").agg(F.sum("cnt").alias("cnt"))
 
 
-def _mask(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _mask(batches: Iterator[pa.RecordBatch], least: int, mark: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         seq, off = sq.values(b["seq"])
         qual, q_off = sq.values(b["qual"])
         if (off != q_off).any():
             raise ValueError("a sequence and its qualities differ in length")
-        out = np.where(qual >= least, seq, np.uint8(ord("N")))
+        out = np.where(qual >= least, seq, np.uint8(ord(mark)))
         text = pa.Array.from_buffers(pa.large_string(), b.num_rows, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(out))])
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in b.schema.names if n not in ("seq", "qual")), text.cast(pa.string())], [*(n for n in b.schema.names if n not in ("seq", "qual")), "seq"])
 
 
-def mask_quality(reads: DataFrame, least: int) -> DataFrame:
-    """Bases whose quality byte is under `least` become N; ASCII sequences."""
+def mask_quality(reads: DataFrame, least: int, mark: str = "N") -> DataFrame:
+    """Bases whose quality byte is under `least` become `mark`, which is no base; ASCII sequences."""
+    ship(reads.sparkSession)
     kept = [f for f in reads.schema if f.name not in ("seq", "qual")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return reads.select(*(f.name for f in kept), "seq", "qual").mapInArrow(lambda it: _mask(it, least), f"{schema}, seq string")
+    return reads.select(*(f.name for f in kept), "seq", "qual").mapInArrow(lambda it: _mask(it, least, mark), f"{schema}, seq string")
 
 
 def component(code: Column, n: int) -> tuple[Column, Column]:
