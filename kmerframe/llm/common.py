@@ -1,15 +1,15 @@
-"""Scratch tables, shipping of this package to executors, and connected components."""
+"""Scratch tables and connected components."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import ship  # noqa: F401
+
 NO_ID = -(2**63)  # stands for a null id in internal keys; it orders first
 TEXT_BATCH = 512  # rows of text an Arrow batch holds at most in our own stages
 
@@ -31,26 +31,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers whatever their working folder."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="kmerframe-zip-"), "kmerframe_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for top, _, names in os.walk(here):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(top, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 def columns_of(df: DataFrame, **defaults: str) -> DataFrame:
     """The named columns, cast; whatever else the table holds, under whatever name, stays out."""
     return df.select(*(df[f"`{c}`"].cast(kind).alias(c) for c, kind in defaults.items()))
