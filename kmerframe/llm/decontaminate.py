@@ -160,5 +160,5 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a passage of the benchmark go."""
-    bad = overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct()
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(bad.withColumnRenamed("doc_id", "_k"), F.col("doc_id").eqNullSafe(F.col("_k")), "left_anti")
+    bad = overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("__k")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__k"]), "left_anti")

@@ -124,7 +124,6 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents of the mix, a row per copy."""
-    copies = mix(docs).where("copies > 0").select("doc_id", "tag", "copies").dropDuplicates(["doc_id", "tag"])
-    d = docs.select("*", F.coalesce("doc_id", F.lit(NO_ID)).alias("_k"), F.hash("text").alias("tag"))
-    met = d.join(copies.withColumnRenamed("doc_id", "_k"), ["_k", "tag"])
-    return met.select("doc_id", "text", "lang", "source", "n_chars", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("__k"), F.col("tag").alias("__tag"), F.col("copies").alias("__copies")).dropDuplicates(["__k", "__tag"])
+    met = docs.join(copies, (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == copies["__k"]) & (F.hash(docs["text"]) == copies["__tag"]))
+    return met.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))

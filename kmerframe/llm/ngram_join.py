@@ -250,6 +250,5 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies the document with the least id stays."""
-    keep = join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    d = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("_k", F.coalesce("doc_id", F.lit(NO_ID)))
-    return d.join(keep.withColumnRenamed("doc_id", "_k"), "_k", "left_semi").drop("_k")
+    keep = join(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__k")).distinct()
+    return docs.join(keep, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == keep["__k"], "left_semi")

@@ -140,7 +140,8 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts lose later copies of long strings; the first copy stays."""
-    out = dedup(docs, WIDTH, "first")
-    rest = docs.select("doc_id", F.hash("text").alias("tag"), "lang", "source").dropDuplicates(["doc_id", "tag"])
-    same = (out["doc_id"].eqNullSafe(rest["doc_id"])) & (out["tag"] == rest["tag"])
-    return out.join(rest, same, "left").select(out["doc_id"], out["text"], "lang", "source", F.length(out["text"]).cast("long").alias("n_chars"))
+    out = dedup(docs, WIDTH, "first").select(F.col("doc_id").alias("__k"), F.col("tag").alias("__tag"), F.col("text").alias("__text"))
+    rest = docs.select(*(docs[f"`{c}`"] for c in docs.columns if c not in ("text", "n_chars")), F.hash("text").alias("__rest")).dropDuplicates(["doc_id", "__rest"])
+    met = out.join(rest, out["__k"].eqNullSafe(rest["doc_id"]) & (out["__tag"] == rest["__rest"]))
+    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    return met.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

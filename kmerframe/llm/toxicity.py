@@ -198,5 +198,5 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that are predicted toxic go."""
-    bad = scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").select(F.col("doc_id").alias("_k")).distinct()
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(bad, F.col("doc_id").eqNullSafe(F.col("_k")), "left_anti")
+    bad = scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").select(F.col("doc_id").alias("__k")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__k"]), "left_anti")
