@@ -61,15 +61,20 @@ class Index:
     def __init__(self, ids: np.ndarray, texts: pa.Array, y: np.ndarray, rate: float):
         data, off = plain(texts)
         found = []
-        for i, j in tx.chunks(off):
-            pairs = [np.unique(h.astype(np.uint64) ^ (d.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), return_index=True)[1:] + (h, d) for d, h in terms(data[off[i] : off[j]], off[i : j + 1] - off[i])]
-            found += [(h[k], y[i:j][d[k]]) for k, h, d in pairs]
-        h = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
-        t = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-        name, at = np.unique(h, return_inverse=True)
+        for i, j in tx.chunks(off):  # counts of documents by term, a chunk at a time
+            part = [], []
+            for d, h in terms(data[off[i] : off[j]], off[i : j + 1] - off[i]):
+                k = np.unique(h ^ (d.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), return_index=True)[1]
+                part[0].append(h[k])
+                part[1].append(y[i:j][d[k]].astype(np.int8))
+            if part[0]:
+                name, at = np.unique(np.concatenate(part[0]), return_inverse=True)
+                found.append((name, np.bincount(at, np.concatenate(part[1]), len(name)).astype(np.int32), np.bincount(at, minlength=len(name)).astype(np.int32)))
+        name, at = np.unique(np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64), return_inverse=True)
+        d1, total = (np.bincount(at, np.concatenate([f[c] for f in found]), len(name)) if found else np.zeros(0) for c in (1, 2))
+        del found, at
+        d0 = total - d1
         n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-        d1 = np.bincount(at, t, len(name))
-        d0 = np.bincount(at, minlength=len(name)) - d1
         p = (d1 + d0) / (n1 + n0)
         z = np.abs(d1 / n1 - d0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
         pick = np.flatnonzero((z >= SIGNIFICANT) & (d1 + d0 >= 5))
