@@ -26,5 +26,22 @@ g AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT k.doc_id, k.i, unnest(rang
 a AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
 r AS (SELECT a.doc_id, count(*) AS n, count(g.p) AS gone, string_agg(a.w[a.p], ' ' ORDER BY a.p) FILTER (g.p IS NULL) AS kept FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.p = a.p GROUP BY a.doc_id)
 SELECT d.doc_id, coalesce(r.n, 0) AS n_words, coalesce(r.gone, 0) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+""",
+    "op5_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE k / (a.n + b.n - k) >= 0.8),
+r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.v),
+c AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+SELECT v AS doc_id, c AS class_id, (SELECT count(*) FROM l WHERE l.x = v) AS n_links, v = c AS kept FROM c
+""",
+    "op10_embedding_near_dedup": """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS v, vec_id AS c FROM embeddings UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.v),
+c AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+SELECT v AS vec_id, (SELECT count(*) FROM l WHERE l.x = v) AS n_links, c AS component_id, v = c AS kept FROM c
 """,
 }
