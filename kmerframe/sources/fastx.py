@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Suffixes of either format.
@@ -46,20 +46,56 @@ def read_list(spark: SparkSession, path: str) -> list[str]:
     return [r[0] for r in spark.read.text(path).select(F.trim("value")).collect() if r[0]]
 
 
-def read_any(spark: SparkSession, paths: list[str], min_quality: int = 0) -> DataFrame:
-    """(gid, path, seq): each file is one genome, its gid its place in the list of paths."""
+def is_fastq(path: Column) -> Column:
+    return F.lower(path).rlike(rf"\.({'|'.join(FASTQ)})(\.gz|\.bz2)?$")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def expand(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Folders that aren't stores become the sequence files right in them, by name."""
+    out = []
+    for path in paths:
+        p, fs = _hadoop(spark, path)
+        if exists(spark, f"{path}/meta") or not (fs.exists(p) and fs.getFileStatus(p).isDirectory()):
+            out.append(path)
+            continue
+        inside = sorted(f"{path.rstrip('/')}/{s.getPath().getName()}" for s in fs.listStatus(p) if s.isFile())
+        for x in inside:
+            kind_of(x)
+        out += inside
+    return out
+
+
+def _named(uri: Column | str) -> Column:
+    """One spelling of a URI: file:/a and file:///a are the same file."""
+    return F.regexp_replace(uri, "^([a-zA-Z0-9+.-]+):/+", "$1:/")
+
+
+def read_any(spark: SparkSession, paths: list[str], min_quality: int = 0, records: bool = False) -> DataFrame:
+    """(gid, path, seq): each file is one genome, its gid its place in the list of paths. records: with record_no."""
     from ..operators.sketch import mask_quality
 
+    cols = ["path", "record_no", "seq"] if records else ["path", "seq"]
     parts = []
     for kind in ("fasta", "fastq"):
         mine = [p for p in paths if kind_of(p) == kind]
         if not mine:
             continue
         if kind == "fasta":
-            parts.append(read_fasta(spark, mine).select("path", "seq"))
+            parts.append(read_fasta(spark, mine).select(*cols))
         else:
-            d = read_fastq(spark, mine).select("path", "seq", "qual")
-            parts.append((mask_quality(d, min_quality) if min_quality else d).select("path", "seq"))
+            d = read_fastq(spark, mine).select(*cols, "qual")
+            parts.append((mask_quality(d, min_quality) if min_quality else d).select(*cols))
     whole = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-    names = spark.createDataFrame([(k, p.rsplit("/", 1)[-1]) for k, p in enumerate(paths)], "gid long, _file string")
-    return whole.join(names, F.element_at(F.split("path", "/"), -1) == F.col("_file")).select("gid", "path", "seq")
+    full = [fs.makeQualified(p).toUri().toString() for p, fs in (_hadoop(spark, x) for x in paths)]
+    names = spark.createDataFrame(list(enumerate(full)), "gid long, _file string").withColumn("_file", _named("_file"))
+    return whole.join(names, _named("path") == F.col("_file")).select("gid", *cols)
