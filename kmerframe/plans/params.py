@@ -59,6 +59,17 @@ class SketchParams:
         return _permutation(self.seed, self.dims, self.kept)
 
 
+@dataclass(frozen=True)
+class GivenPermutation(SketchParams):
+    """Parameters whose permutation comes from a file; only its kept part is held."""
+
+    given_dims: bytes = b""
+    given_ranks: bytes = b""
+
+    def permutation(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(self.given_dims, np.int64), np.frombuffer(self.given_ranks, np.int64)
+
+
 @lru_cache(maxsize=8)
 def _permutation(seed: str, dims: int, kept: int) -> tuple[np.ndarray, np.ndarray]:
     digests = np.array([hashlib.md5(f"{seed}:{d}".encode()).hexdigest() for d in range(dims)], dtype="S32")

@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 
-from ..plans.params import SketchParams
+from ..plans.params import GivenPermutation, SketchParams
 
 
 def ranks_of(p: SketchParams) -> np.ndarray:
@@ -30,3 +30,12 @@ def read_shuf(path: str) -> tuple[dict, np.ndarray]:
     if len(raw) != 4 + 16 ** head["subk"]:
         raise ValueError("the permutation is not of the length its header tells")
     return head, raw[4:]
+
+
+def params_of(path: str) -> GivenPermutation:
+    """Parameters of a permutation file. Their seed names the permutation by the hash of its ranks."""
+    head, ranks = read_shuf(path)
+    plain = SketchParams(head["k"], head["subk"], head["level"])
+    dims = np.flatnonzero(ranks < plain.kept).astype(np.int64)
+    seed = "shuf-" + hashlib.md5(ranks.tobytes()).hexdigest()
+    return GivenPermutation(plain.k, plain.subk, plain.level, seed, dims.tobytes(), ranks[dims].astype(np.int64).tobytes())
