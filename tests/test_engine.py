@@ -108,6 +108,18 @@ def test_distances(spark):
     assert [r.rid for r in compare.nearest(compare.distances(p), 1).collect()] == [3]
 
 
+def test_p_values(spark):
+    pairs = spark.createDataFrame([(1, 2, 5, 20, 30), (1, 3, 0, 20, 30), (2, 3, 7, 7, 7), (3, 4, 0, 0, 0)], "qid long, rid long, shared long, qry_s long, ref_s long")
+    for kind in ("jaccard", "containment"):
+        out = compare.p_values(compare.distances(pairs, kind, confidence=True), 12).collect()
+        for r in out:
+            den = r.qry_s + r.ref_s - r.shared if kind == "jaccard" else min(r.qry_s, r.ref_s)
+            m = r.shared / den if den else math.nan
+            sd = math.sqrt(m * (1 - m) / den) if den else math.nan
+            want = 0.5 * math.erfc(m / sd / math.sqrt(2)) if sd > 0 else 0.0 if m > 0 else math.nan
+            assert (r.p_value, r.fdr) == pytest.approx((want, want * 12), nan_ok=True)
+
+
 @pytest.mark.parametrize("n", [5, 6, 7, 50, 100, 101])
 def test_coverage_statistics(spark, n):
     a = sorted(((i * 37) % 91) + 1 for i in range(n))
