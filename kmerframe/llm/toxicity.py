@@ -1,15 +1,16 @@
 """Toxicity by nearest labelled examples.
 
 Method. Terms are the words (letters and digits, lower case) and their beginnings of PREFIX bytes.
-Those whose frequency differs significantly between the labels of a bounded sample make up the
-vocabulary. Labelled examples and texts are TF-IDF vectors over it. An inverted index over blocks of
-examples holds each block's largest weight of a term; a block is visited only while the bound that
-these give can still beat the K-th best cosine, so the K nearest are exact. Their votes, weighted by
-closeness, are calibrated by logistic regression on leave-one-out votes, weighted back to the label
-rate of all labelled rows. `evidence` has the ids of the nearest examples.
-
-Edge cases: a null or empty text, or one without a vocabulary term, gets the rate that such
-examples have; ties between examples go to the earlier in a fixed order; with no labels of both
+Labelled examples (a bounded sample) and texts are TF-IDF vectors over all terms of the examples,
+with idf counted over all documents. Terms of few examples have an inverted index, which gives their
+part of all cosines; for the others an index over blocks of examples holds each block's largest
+weight of a term. A block is visited only while the bound that these give can still beat the K-th
+best cosine, so the K nearest are exact. Their votes, weighted by closeness, are calibrated by
+logistic regression on leave-one-out votes, weighted back to the label rate of all labelled rows.
+`evidence` has the ids of the nearest examples.
+
+Edge cases: a null or empty text, or one without a term of the examples, gets the rate that such
+examples have (the rate of all, if there are none); ties between examples go to the earlier in a fixed order; with no labels of both
 kinds all scores are that label's rate (0 without labels); a null doc_id is never learned from nor
 held out; repeated labels each count; an empty table gives an empty result; other columns are
 passed by.
@@ -18,6 +19,7 @@ passed by.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,11 @@ from .decontaminate import plain
 
 SAMPLE = 2048  # labelled rows of each label
 PREFIX = (4, 5, 6, 7, 8, 9)
-VOCABULARY = 1024
-SIGNIFICANT = 5.5  # standard deviations
 K = 16
 BLOCK = 64
+OFTEN = 1 / 32  # share of the examples from which a term is held by blocks
+TOGETHER = 256  # texts whose nearest examples are sought together
+COUNTED = 1 << 14  # terms whose counts are summed in one row
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>"
 
 
@@ -57,88 +60,181 @@ def terms(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         yield d, (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def vocabulary(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """All terms, sorted."""
+    found = [np.zeros(0, np.uint64)]
+    for i, j in tx.chunks(off):
+        found.append(np.unique(np.concatenate([h for _, h in terms(data[off[i] : off[j]], off[i : j + 1] - off[i])] or found[:1])))
+    return np.unique(np.concatenate(found))
+
+
+def counted(names: np.ndarray, data: np.ndarray, off: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each chunk i, j of documents: (document, place in `names`) of its terms, sorted, and how often."""
+    for i, j in tx.chunks(off):
+        got = [np.zeros(0, np.int64)]
+        for d, h in terms(data[off[i] : off[j]], off[i : j + 1] - off[i]) if len(names) else ():
+            k = np.flatnonzero(bits[(h >> np.uint64(42)).astype(np.int64)])
+            at = np.searchsorted(names, h[k])
+            at[at == len(names)] = 0
+            ok = names[at] == h[k]
+            got.append(d[k][ok] * len(names) + at[ok])
+        key, n = np.unique(np.concatenate(got), return_counts=True)
+        doc, term = np.divmod(key, max(len(names), 1))
+        yield i, j, doc, term, n
+
+
+def known(names: np.ndarray) -> np.ndarray:
+    """Which beginnings of 22 bits the terms have."""
+    bits = np.zeros(1 << 22, bool)
+    bits[(names >> np.uint64(42)).astype(np.int64)] = True
+    return bits
+
+
+def _frequencies(names: np.ndarray):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, total = known(names), np.zeros(len(names), np.int64)
+        for b in batches:
+            for _, _, _, term, _ in counted(names, *plain(b["text"]), bits):
+                total += np.bincount(term, minlength=len(names))
+        for part, s in enumerate(range(0, len(names), COUNTED)):
+            at = np.flatnonzero(total[s : s + COUNTED])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([total[s + at].astype("<i8").tobytes()], pa.binary())], ["part", "at", "n"])
+
+    return go
+
+
+def _sum(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    at, n = (np.frombuffer(b"".join(t[c].to_pylist()), k) for c, k in (("at", "<u2"), ("n", "<i8")))
+    total = np.zeros(COUNTED, np.int64)
+    np.add.at(total, at.astype(np.int64), n)
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([total.tobytes()], pa.binary())})
+
+
+def frequencies(docs: DataFrame, names: np.ndarray) -> np.ndarray:
+    """In how many documents each term is."""
+    rows = docs.select("text").mapInArrow(_frequencies(names), "part int, at binary, n binary").groupBy("part").applyInArrow(_sum, "part int, n binary").toArrow()
+    out = np.zeros(-(-len(names) // COUNTED) * COUNTED, np.int64)
+    for part, n in zip(rows["part"].to_pylist(), rows["n"].to_pylist(), strict=True):
+        out[part * COUNTED : (part + 1) * COUNTED] = np.frombuffer(n, np.int64)
+    return out[: len(names)]
+
+
 class Index:
-    def __init__(self, ids: np.ndarray, texts: pa.Array, y: np.ndarray, rate: float):
+    def __init__(self, ids: np.ndarray, texts: pa.Array, y: np.ndarray, rate: float, names: np.ndarray | None = None, found: np.ndarray | None = None, total: int = 0):
+        """names: the vocabulary; found: in how many of `total` documents each of it is. Without them
+        the examples are all documents."""
         data, off = plain(texts)
-        found = []
-        for i, j in tx.chunks(off):  # counts of documents by term, a chunk at a time
-            part = [], []
-            for d, h in terms(data[off[i] : off[j]], off[i : j + 1] - off[i]):
-                k = np.unique(h ^ (d.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), return_index=True)[1]
-                part[0].append(h[k])
-                part[1].append(y[i:j][d[k]].astype(np.int8))
-            if part[0]:
-                name, at = np.unique(np.concatenate(part[0]), return_inverse=True)
-                found.append((name, np.bincount(at, np.concatenate(part[1]), len(name)).astype(np.int32), np.bincount(at, minlength=len(name)).astype(np.int32)))
-        name, at = np.unique(np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64), return_inverse=True)
-        d1, total = (np.bincount(at, np.concatenate([f[c] for f in found]), len(name)) if found else np.zeros(0) for c in (1, 2))
-        del found, at
-        d0 = total - d1
+        self.terms = vocabulary(data, off) if names is None else names
+        self.bits = known(self.terms)
+        parts = [(doc + i, term, n) for i, _, doc, term, n in counted(self.terms, data, off, self.bits)]
+        doc, term, n = (np.concatenate([p[c] for p in parts] or [np.zeros(0, np.int64)]) for c in range(3))
+        del parts
+        if found is None:
+            found, total = np.bincount(term, minlength=len(self.terms)), len(y)
+        self.idf = np.log((total + 1) / (found + 1)) + 1
         n1, n0 = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-        p = (d1 + d0) / (n1 + n0)
-        z = np.abs(d1 / n1 - d0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-        pick = np.flatnonzero((z >= SIGNIFICANT) & (d1 + d0 >= 5))
-        pick = np.sort(pick[np.lexsort((name[pick], -z[pick]))][:VOCABULARY])
-        self.terms = name[pick]
-        self.idf = np.log((len(y) + 1) / (d1 + d0 + 1))[pick] + 1
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.terms >> np.uint64(44)).astype(np.int64)] = True
-        vectors = self.vectors(data, off)
-        full = np.array([i for i, (t_, _) in enumerate(vectors) if len(t_)], np.int64)
         weight = np.where(y == 1, rate / n1, (1 - rate) / n0)  # of a row, back to the rate of all rows
-        empty = np.ones(len(y), bool)
-        empty[full] = False
+        size = np.bincount(doc, minlength=len(y))
+        full, empty = np.flatnonzero(size), size == 0
         self.blank = float((weight[empty] * y[empty]).sum() / weight[empty].sum()) if empty.any() else rate
         # Examples with the same main term side by side: tighter bounds.
-        full = full[np.argsort([int(vectors[i][0][np.argmax(vectors[i][1])]) for i in full], kind="stable")] if len(full) else full
+        often = np.bincount(term, minlength=len(self.terms)) >= BLOCK
+        w = np.where(often[term], (1 + np.log(n)) * self.idf[term], 0)
+        best = np.lexsort((-w, doc))
+        main = np.zeros(len(y), np.int64)
+        main[full] = term[best[(np.cumsum(size) - size)[full]]]
+        full = full[np.argsort(main[full], kind="stable")]
+        place = np.full(len(y), -1)
+        place[full] = np.arange(len(full))
         self.ids, self.y = ids[full], y[full]
-        self.matrix = np.zeros((len(self.terms), len(full)))
-        for k, i in enumerate(full):
-            self.matrix[vectors[i][0], k] = vectors[i][1]
-        blocks = -(-len(full) // BLOCK)
-        wide = np.zeros((len(self.terms), blocks * BLOCK))
-        wide[:, : len(full)] = self.matrix
-        self.most = wide.reshape(len(self.terms), blocks, BLOCK).max(2) if blocks else wide
+        order = np.lexsort((place[doc], term))
+        self.cut = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        self.post, self.times = place[doc[order]].astype(np.int32), n[order].astype(np.int32)
+        del doc, term, n, w, best, order
+        self._prepare()
         self.line = np.array([0.0, 1.0])
         if len(full):
-            votes = np.array([self.vote(*self.nearest(*vectors[i], skip=k)) for k, i in enumerate(full)])
+            votes, every = np.zeros(len(full)), zip(place.tolist(), self.vectors(data, off), strict=True)
+            while some := list(islice(every, TOGETHER)):
+                some = [(k, v) for k, v in some if k >= 0]
+                for (k, _), got in zip(some, self.search([v for _, v in some], [k for k, _ in some]) if some else (), strict=True):
+                    votes[k] = self.vote(*got)
             self.line = self._calibrate(votes, self.y, weight[full])
 
-    def vectors(self, data: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _prepare(self) -> None:
+        """Weights of the postings, and the blocks of the terms of many examples."""
+        examples, size = len(self.ids), np.diff(self.cut)
+        term = np.repeat(np.arange(len(size)), size)
+        w = (1 + np.log(self.times)) * self.idf[term]
+        self.weight = w / np.sqrt(np.bincount(self.post, w**2, examples))[self.post]
+        often = np.flatnonzero(size >= max(OFTEN * examples, 1))
+        self.row = np.full(len(size), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.blocks = -(-examples // BLOCK)
+        wide = np.zeros((len(often), self.blocks * BLOCK))
+        k = np.flatnonzero(self.row[term] >= 0)
+        wide[self.row[term[k]], self.post[k]] = self.weight[k]
+        self.wide = wide.reshape(len(often), self.blocks, BLOCK)
+        self.most = self.wide.max(2) if self.blocks else np.zeros((len(often), 0))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("bits", "weight", "row", "wide", "most")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.bits = known(self.terms)
+        self._prepare()
+
+    @property
+    def matrix(self) -> np.ndarray:
+        """All weights, terms x examples: for small sets."""
+        out = np.zeros((len(self.terms), len(self.ids)))
+        out[np.repeat(np.arange(len(self.terms)), np.diff(self.cut)), self.post] = self.weight
+        return out
+
+    def vectors(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Sparse unit TF-IDF vectors over the vocabulary."""
-        out = []
-        for i, j in tx.chunks(off):
-            got = []
-            for d, h in terms(data[off[i] : off[j]], off[i : j + 1] - off[i]):
-                k = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
-                at = np.searchsorted(self.terms, h[k])
-                at[at == len(self.terms)] = 0
-                ok = self.terms[at] == h[k] if len(self.terms) else np.zeros(len(k), bool)
-                got.append(d[k][ok] * len(self.terms) + at[ok])
-            key, n = np.unique(np.concatenate(got) if got else np.zeros(0, np.int64), return_counts=True)
-            doc, term = np.divmod(key, max(len(self.terms), 1))
+        for i, j, doc, term, n in counted(self.terms, data, off, self.bits):
             w = (1 + np.log(n)) * self.idf[term]
-            norm = np.sqrt(np.bincount(doc, w**2, j - i))
-            w = w / norm[doc]
+            w = w / np.sqrt(np.bincount(doc, w**2, j - i))[doc]
             cut = np.searchsorted(doc, np.arange(j - i + 1))
-            out += [(term[s:e], w[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-        return out
+            yield from ((term[s:e], w[s:e]) for s, e in zip(cut[:-1], cut[1:], strict=True))
 
     def nearest(self, term: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The K nearest examples and their cosines."""
-        bound = w @ self.most[term]
-        at, sim = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(sim) >= K and bound[b] < sim[-1] - 1e-12:
-                break
-            s = b * BLOCK
-            new = w @ self.matrix[term, s : s + BLOCK]
-            i = np.arange(s, s + len(new))
-            keep = (new > 0) & (i != skip)
-            at, sim = np.r_[at, i[keep]], np.r_[sim, new[keep]]
-            order = np.lexsort((at, -sim))[:K]
-            at, sim = at[order], sim[order]
-        return at, sim
+        """The K nearest examples and their cosines; of equal ones the earlier."""
+        return next(self.search([(term, w)], [skip]))
+
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], skip: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of each vector, without the one to skip."""
+        term, w = (np.concatenate([v[c] for v in vectors]) for c in (0, 1))
+        doc = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+        row = self.row[term]
+        few, width = row < 0, self.blocks * BLOCK
+        lo, n = self.cut[term[few]], self.cut[term[few] + 1] - self.cut[term[few]]
+        k = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        # What is known of each cosine: first the part of the terms of few examples. It only grows.
+        part = np.bincount(self.post[k] + np.repeat(doc[few] * width, n), self.weight[k] * np.repeat(w[few], n), len(vectors) * width).astype(float, copy=False).reshape(len(vectors), width)
+        del k
+        part[np.flatnonzero(np.array(skip) >= 0), [s for s in skip if s >= 0]] = -np.inf
+        ask = np.zeros((len(vectors), len(self.wide)))
+        ask[doc[~few], row[~few]] = w[~few]
+        bound = part.reshape(len(vectors), self.blocks, BLOCK).max(2) + ask @ self.most
+        seen = np.zeros(bound.shape, bool)
+        kth = lambda: np.partition(part, width - K, 1)[:, width - K]
+        least = kth() if self.blocks else np.zeros(len(vectors))
+        for step, b in enumerate(np.argsort(-bound.sum(0), kind="stable").tolist()):
+            if step in (4, 16):
+                least = kth()
+            seen[:, b] = (bound[:, b] > 0) & (bound[:, b] >= least - 1e-9)
+            d = np.flatnonzero(seen[:, b])
+            part[d, b * BLOCK : (b + 1) * BLOCK] += ask[d] @ self.wide[:, b]
+        least = kth() if self.blocks else least
+        for x, s, t in zip(part, seen, least, strict=True):
+            at = np.flatnonzero((x >= t - 1e-12) & (x > 0))
+            at = at[s[at // BLOCK]]
+            best = at[np.lexsort((at, -np.round(x[at], 12)))[:K]]
+            yield best, x[best]
 
     def vote(self, at: np.ndarray, sim: np.ndarray) -> float:
         """Log odds of the neighbours' labels, each weighted by closeness."""
@@ -160,19 +256,21 @@ class Index:
                 break
         return b if b[1] > 0 else np.array([0.0, 1.0])
 
-    def score(self, term: np.ndarray, w: np.ndarray) -> tuple[float, list[int]]:
-        if not len(term) or not len(self.ids):
-            return self.blank, []
-        at, sim = self.nearest(term, w)
-        if not len(at):
-            return self.blank, []
-        z = self.line[0] + self.line[1] * self.vote(at, sim)
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), self.ids[at[:3]].tolist()
+    def scores(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[int]]]:
+        found = self.search(vectors, [-1] * len(vectors)) if len(self.ids) else ((np.zeros(0, np.int64), None) for _ in vectors)
+        for at, sim in found:
+            if not len(at):
+                yield self.blank, []
+                continue
+            z = self.line[0] + self.line[1] * self.vote(at, sim)
+            yield float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), self.ids[at[:3]].tolist()
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = plain(b["text"])
-            got = [self.score(*v) for v in self.vectors(data, off)]
+            got, every = [], self.vectors(data, off)
+            while some := list(islice(every, TOGETHER)):
+                got += self.scores(some)
             score = np.array([g[0] for g in got], float)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
@@ -193,7 +291,9 @@ def scored(docs: DataFrame, labels: DataFrame, examples: DataFrame | None = None
     rows = source.join(F.broadcast(few), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])  # 2 * limit labelled ids, ties aside
     if not rows.num_rows:
         return ask.select("doc_id", "held_out", F.lit(n1 / (n1 + n0)).alias("score"), F.lit(int(n1 >= n0)).alias("predicted"), F.array().cast("array<long>").alias("evidence"))
-    index = Index(rows["doc_id"].to_numpy(), rows["text"].combine_chunks(), rows["toxic"].to_numpy().astype(np.int64), n1 / (n1 + n0))
+    texts = rows["text"].combine_chunks()
+    names = vocabulary(*plain(texts))
+    index = Index(rows["doc_id"].to_numpy(), texts, rows["toxic"].to_numpy().astype(np.int64), n1 / (n1 + n0), names, frequencies(d, names), d.count())
     return ask.mapInArrow(index.__call__, SCHEMA)
 
 

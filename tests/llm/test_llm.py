@@ -331,6 +331,27 @@ def test_nearest_is_exact():
             assert np.allclose(np.sort(every[order]), np.sort(sim)) and len(at) == len(order)
 
 
+def test_toxicity_uses_all_terms(spark):
+    """Nearest examples by TF-IDF cosine over every term, idf over all documents, against a direct computation."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice([f"w{k}" for k in range(60)]) for _ in range(rng.randint(3, 15)))) for i in range(120)] + [(500, ""), (501, "unheard of")]
+    labels = [(i, 1, i % 2) for i in range(60)]
+    docs, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.scored(docs, y).collect()}
+    bags = {i: Counter((n, w[:n] if n else w) for w in t.split() for n in (0, *toxicity.PREFIX) if not n or len(w) > n) for i, t in rows}
+    known = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5 != 0]
+    names = set().union(*(bags[i] for i in known))
+    df = Counter(x for b in bags.values() for x in b)
+    vec = {i: {x: (1 + np.log(n)) * (np.log((len(rows) + 1) / (df[x] + 1)) + 1) for x, n in b.items() if x in names} for i, b in bags.items()}
+    norm = {i: np.sqrt(sum(v * v for v in x.values())) for i, x in vec.items()}
+    for i, x in vec.items():
+        sims = sorted((-round(sum(v * vec[k].get(t, 0) for t, v in x.items()) / norm[i] / norm[k], 9) for k in known), key=float) if x else []
+        near = [s for s in sims if s < 0][:3]
+        mine = [-round(sum(v * vec[k].get(t, 0) for t, v in x.items()) / norm[i] / norm[k], 9) for k in got[i].evidence]
+        assert mine == near, i
+    assert all(got[i].evidence for i in range(120)) and got[500].evidence == got[501].evidence == []
+
+
 def test_grades_in_order(spark):
     rng = random.Random(9)
     rows, labels = [], []
