@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filtered(docs: DataFrame, keeps) -> DataFrame:
+    """The rows of `docs` for which keeps(texts) is true: decided by row, whatever the ids."""
+
+    def go(batches):
+        for b in batches:
+            yield b.filter(pa.array(keeps(b["text"].cast(pa.string())), pa.bool_()))
+
+    return docs.mapInArrow(go, docs.schema)
+
+
 def columns_of(df: DataFrame, **defaults: str) -> DataFrame:
     """The named columns, cast; whatever else the table holds, under whatever name, stays out."""
     return df.select(*(df[f"`{c}`"].cast(kind).alias(c) for c, kind in defaults.items()))
@@ -59,7 +70,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         j = down.join(least, "u")
         small = j.where("v <> m").select(F.col("m").alias("lo"), F.col("v").alias("hi")).union(least.select(F.col("m").alias("lo"), F.col("u").alias("hi"))).distinct()
         e = written(small, "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum("lo"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+        now = e.agg(F.count(F.lit(1)), F.sum(F.col("lo").cast("decimal(38,0)")), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if now == last:
             break
         last = now

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import columns_of, ship
+from .common import columns_of, filtered, ship
 
 MASKS = ("110110011011", "111010110101", "101101101110", "111100101011")
 SPAN = len(MASKS[0])
@@ -119,33 +119,43 @@ class TestSet:
         return d, t, np.array(list(found.values()), np.int64)
 
 
+def _found(test: TestSet, texts: pa.Array) -> tuple[list[list], np.ndarray]:
+    """Each text's items, and its most words in common with one."""
+    data, off = plain(texts)
+    items, overlap = [[] for _ in range(len(texts))], np.zeros(len(texts), np.int64)
+    for i, j in tx.chunks(off):
+        codes, o = coded(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        for d, t, n in zip(*test.hits(codes, o), strict=True):
+            items[i + d].append(test.ids[t])
+            overlap[i + d] = max(overlap[i + d], n)
+    return items, overlap
+
+
 def _seek(test: TestSet):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = plain(b["text"])
-            items, overlap = [[] for _ in range(b.num_rows)], np.zeros(b.num_rows, np.int64)
-            for i, j in tx.chunks(off):
-                codes, o = coded(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                for d, t, n in zip(*test.hits(codes, o), strict=True):
-                    items[i + d].append(test.ids[t])
-                    overlap[i + d] = max(overlap[i + d], n)
+            items, overlap = _found(test, b["text"])
             n = np.array([len(x) for x in items], np.int64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(overlap), pa.array([sorted(x, key=lambda v: (v is None, v)) for x in items], pa.list_(pa.int64())), pa.array(n > 0)], ["doc_id", "n_items", "overlap", "items", "contaminated"])
 
     return go
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slack: int = SLACK) -> DataFrame:
-    """doc_id, n_items, overlap (most words in common with an item), items, contaminated; a row per document."""
-    ship(docs.sparkSession)
-    d = columns_of(docs, doc_id="long", text="string")
+def _tests(benchmark: DataFrame, width: int, slack: int) -> Iterator[TestSet]:
+    """The test set in blocks."""
     b = columns_of(benchmark, item_id="long", text="string").where("text is not null")
     blocks = int((b.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS) + 1
-    parts = []
     for k in range(blocks):
         rows = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        parts.append(d.mapInArrow(_seek(TestSet(np.array(rows["item_id"].to_pylist(), object), rows["text"].combine_chunks(), width, slack)), SCHEMA))
-    if blocks == 1:
+        yield TestSet(np.array(rows["item_id"].to_pylist(), object), rows["text"].combine_chunks(), width, slack)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slack: int = SLACK) -> DataFrame:
+    """doc_id, n_items, overlap (most words in common with an item), items, contaminated; a row per document."""
+    ship(docs.sparkSession)
+    d = columns_of(docs, doc_id="long", text="string")
+    parts = [d.mapInArrow(_seek(t), SCHEMA) for t in _tests(benchmark, width, slack)]
+    if len(parts) == 1:
         return parts[0]
     every = parts[0]
     for p in parts[1:]:
@@ -159,6 +169,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a passage of the benchmark go."""
-    bad = overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("__k")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__k"]), "left_anti")
+    """Pipeline stage: rows that hold a passage of the benchmark go."""
+    ship(spark)
+    for test in _tests(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), WIDTH, SLACK):
+        docs = filtered(docs, lambda texts, test=test: np.array([not x for x in _found(test, texts)[0]], bool))
+    return docs

@@ -214,15 +214,16 @@ def block_pairs(members: DataFrame) -> DataFrame:
     return members.withColumn("_o", other).withColumn("p", F.least("block", "_o")).withColumn("q", F.greatest("block", "_o")).drop("_o")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def join(docs: DataFrame, threshold: float = THRESHOLD, repeats: bool = True) -> DataFrame:
     """doc_id, tag (repeats.keyed), class_id (least doc_id that links lead to), n_links (other
-    documents linked directly, copies included), one row per document."""
+    documents linked directly, copies included), one row per document. repeats: rows may share a
+    doc_id, and then are one document with all texts."""
     spark = docs.sparkSession
     ship(spark)
     d = keyed(docs)
     signed = written(d.mapInArrow(_sign, "doc_id long, tag int, print binary, sig binary"), "signed")
     classes = written(
-        signed.where("print is not null").groupBy("print").agg(F.min(F.struct("doc_id", "tag")).alias("f"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig")).select("print", F.col("f.doc_id").alias("node"), F.col("f.tag").alias("tag"), "copies", "sig"),
+        signed.where("print is not null").groupBy("print").agg(F.min(F.struct("doc_id", "tag")).alias("f"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig")).select("print", F.xxhash64("print").alias("node"), "f.doc_id", "f.tag", "copies", "sig"),
         "classes",
     )
     bands = classes.select("node", "sig").mapInArrow(_bands, "node long, band long")
@@ -231,13 +232,19 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     grouped = groups.join(sizes, "component").select("node", F.col("component").alias("group"), "blocks")
     members = classes.join(grouped, "node").withColumn("block", F.expr("pmod(xxhash64(node, tag), blocks)").cast("int"))
-    members = members.withColumnRenamed("node", "doc_id").join(d, ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"]).withColumnRenamed("doc_id", "node")
+    members = members.join(d, ["doc_id", "tag"]).dropDuplicates(["node"])
     sets = members.select("node", "copies", "sig", "group", "blocks", "block", "text").mapInArrow(_sets, "node long, copies long, sig binary, group long, blocks int, block int, shingles binary")
     links = written(block_pairs(sets).groupBy("group", "p", "q").applyInArrow(_compare(threshold), LINKS), "links")
-    comp = components(links.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    edges = links.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    if repeats:
+        of = signed.where("print is not null").select("doc_id", F.xxhash64("print").alias("b"))
+        several = of.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a <> z").select("doc_id", "a")
+        edges = edges.union(of.join(several, "doc_id").where("a <> b").select("a", "b"))
+    comp = components(edges)
     direct = links.groupBy("node").agg(F.sum("links").alias("links"))
-    per = classes.select("print", "node", "copies").join(direct, "node", "left").join(comp, "node", "left")
-    per = per.select("print", F.coalesce("component", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    per = classes.select("print", "node", "doc_id", "copies").join(direct, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = per.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    per = per.join(least, "component").select("print", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = signed.select("doc_id", "tag", "print").join(per, "print", "left")
     return out.select("doc_id", "tag", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
@@ -249,6 +256,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies the document with the least id stays."""
-    keep = join(docs).where("doc_id = class_id").select(F.col("doc_id").alias("__k")).distinct()
-    return docs.join(keep, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == keep["__k"], "left_semi")
+    """Pipeline stage: of each group of near copies exactly one row stays, one with the least id (null
+    orders first); rows that share an id are judged by themselves."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    got = join(rows.select(F.col("__row").alias("doc_id"), "text"), repeats=False).select(F.col("doc_id").alias("__row"), "class_id")
+    named = got.join(rows.select("__row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")), "__row")
+    keep = named.groupBy("class_id").agg(F.min(F.struct("id", "__row")).alias("f")).select("f.__row")
+    return rows.join(keep, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textmodel as tm
 from . import textops as tx
-from .common import columns_of, ship
+from .common import columns_of, filtered, ship
 from .decontaminate import plain
 
 SAMPLE = 2048  # labelled rows of each label
@@ -265,35 +265,45 @@ class Index:
             z = self.line[0] + self.line[1] * self.vote(at, sim)
             yield float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), self.ids[at[:3]].tolist()
 
+    def judge(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
+        """Scores and nearest examples of texts."""
+        got, every = [], self.vectors(*plain(texts))
+        while some := list(islice(every, TOGETHER)):
+            got += self.scores(some)
+        return np.array([g[0] for g in got], float), [g[1] for g in got]
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = plain(b["text"])
-            got, every = [], self.vectors(data, off)
-            while some := list(islice(every, TOGETHER)):
-                got += self.scores(some)
-            score = np.array([g[0] for g in got], float)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "evidence"])
+            score, near = self.judge(b["text"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
 
-def scored(docs: DataFrame, labels: DataFrame, examples: DataFrame | None = None, folds: int = 5, limit: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence for every row of docs. examples: where the labelled
-    texts are, if not in docs."""
+def fitted(docs: DataFrame, labels: DataFrame, examples: DataFrame | None = None, folds: int = 5, limit: int = SAMPLE) -> Index | tuple[float, int]:
+    """The index, or the score and prediction of all texts where there are no examples of both labels."""
     ship(docs.sparkSession)
     d = columns_of(docs, doc_id="long", text="string")
     source = d if examples is None else columns_of(examples, doc_id="long", text="string")
     y = columns_of(labels, doc_id="long", toxic="int").where(F.col("toxic").isin(0, 1) & (tm.fold("doc_id", folds) != 0))
     n1, n0 = y.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
-    ask = d.select("doc_id", "text", F.coalesce(tm.fold("doc_id", folds) == 0, F.lit(False)).alias("held_out"))
     if not n1 or not n0:
-        flat = 1.0 if n1 else 0.0
-        return ask.select("doc_id", "held_out", F.lit(flat).alias("score"), F.lit(int(flat)).alias("predicted"), F.array().cast("array<long>").alias("evidence"))
+        return (1.0, 1) if n1 else (0.0, 0)
     few = tm.sample(y.where("toxic = 1"), "doc_id", limit, 8).union(tm.sample(y.where("toxic = 0"), "doc_id", limit, 8))
     rows = source.join(F.broadcast(few), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])  # 2 * limit labelled ids, ties aside
     if not rows.num_rows:
-        return ask.select("doc_id", "held_out", F.lit(n1 / (n1 + n0)).alias("score"), F.lit(int(n1 >= n0)).alias("predicted"), F.array().cast("array<long>").alias("evidence"))
+        return n1 / (n1 + n0), int(n1 >= n0)
     texts = rows["text"].combine_chunks()
     names = vocabulary(*plain(texts))
-    index = Index(rows["doc_id"].to_numpy(), texts, rows["toxic"].to_numpy().astype(np.int64), n1 / (n1 + n0), names, frequencies(d, names), d.count())
+    return Index(rows["doc_id"].to_numpy(), texts, rows["toxic"].to_numpy().astype(np.int64), n1 / (n1 + n0), names, frequencies(d, names), d.count())
+
+
+def scored(docs: DataFrame, labels: DataFrame, examples: DataFrame | None = None, folds: int = 5, limit: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence for every row of docs. examples: where the labelled
+    texts are, if not in docs."""
+    index = fitted(docs, labels, examples, folds, limit)
+    d = columns_of(docs, doc_id="long", text="string")
+    ask = d.select("doc_id", "text", F.coalesce(tm.fold("doc_id", folds) == 0, F.lit(False)).alias("held_out"))
+    if isinstance(index, tuple):
+        return ask.select("doc_id", "held_out", F.lit(index[0]).alias("score"), F.lit(index[1]).alias("predicted"), F.array().cast("array<long>").alias("evidence"))
     return ask.mapInArrow(index.__call__, SCHEMA)
 
 
@@ -302,6 +312,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that are predicted toxic go."""
-    bad = scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").select(F.col("doc_id").alias("__k")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__k"]), "left_anti")
+    """Pipeline stage: rows that are predicted toxic go."""
+    index = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if isinstance(index, tuple):
+        return docs.where(F.lit(not index[1]))
+    return filtered(docs, lambda texts: index.judge(texts)[0] < 0.5)

@@ -228,6 +228,33 @@ def test_mixing(spark, data):
     assert sorted(map(tuple, mixing.mix(df).collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_stages_decide_by_row(spark, tmp_path):
+    rng = random.Random(21)
+    text = lambda k: [f"v{rng.randrange(4000)}" for _ in range(k)]
+    a, b, c, item = text(60), text(60), text(60), text(30)
+    near = [*a[:-1], "changed"]
+    rows = [(None, a), (None, near), (None, b), (7, b), (7, c), (8, a), (None, text(20) + item), (8, text(9) + item), (9, None), (9, None), (11, text(50)), (11, text(50)), (12, item[:20]), (13, c), (13, [*c[:-1], "other"])]
+    docs = frame(spark, [(i, None if t is None else " ".join(t)) for i, t in rows])
+    key = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    whole = [(i, None if t is None else " ".join(t)) for i, t in rows]
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(100, 140)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert key(decontaminate.stage(spark, docs, str(tmp_path))) == Counter(w for k, w in enumerate(whole) if k not in (6, 7, 12))
+    groups, got = [{0, 1, 5}, {2, 3}, {4, 13, 14}], key(ngram_join.stage(spark, docs, str(tmp_path)))
+    left = {w for g in groups for w in [min((whole[k] for k in g), key=lambda w: (w[0] is not None, w[0] or 0))]}
+    assert sum(got.values()) == len(rows) - sum(len(g) - 1 for g in groups)
+    assert all(len([k for k in g if whole[k] in got]) == 1 for g in groups)
+    assert {w[0] for w in left} == {None, 7} and all(got[whole[k]] for k in (6, 7, 8, 10, 11, 12)) and got[whole[8]] == 2
+    bad = spark.createDataFrame([(i, f"fine words here {i}" if i % 2 == 0 else f"scum idiot {i}") for i in range(100, 140)] + [(None, "scum idiot"), (None, "fine words here"), (200, "scum idiot"), (200, "fine words here")], "doc_id long, text string")
+    assert all(("scum" in t) == 0 for _, t in key(toxicity.stage(spark, bad, str(tmp_path)))) and sum(key(toxicity.stage(spark, bad, str(tmp_path))).values()) == 22
+
+
+def test_repeated_id_with_near_texts(spark):
+    words = [f"u{k}" for k in range(60)]
+    got = ngram_join.join(frame(spark, [(4, " ".join(words)), (4, " ".join([*words[:-1], "x"])), (6, "else where")])).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(4, 4, 1), (4, 4, 1), (6, 6, 0)]
+
+
 def test_targets():
     t = mixing.targets(np.array([10.0, 100.0, 100.0]), np.array([3.0, 1.0, 2.0]), 315.0)
     assert np.allclose(t, [20, 295 / 3, 2 * 295 / 3])
