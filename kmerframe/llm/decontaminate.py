@@ -1,12 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Method. Words are runs of letters, digits and non-ASCII characters of the lower-cased text. Each
-fixed mask of SPAN positions hashes only the positions it selects, so that a word that was replaced
+fixed mask of at most SPAN positions hashes only the positions it selects, so that a word that was replaced
 at another position doesn't matter. Hashes of all test windows meet those of all training windows;
 a hit fixes how item and document lie against each other, and the words around it are compared
 there: it counts if some `width` consecutive words (the whole item, if shorter) that cover the seed
-agree in all but `slack` of them. Items of 5 to SPAN - 1 words are sought whole; shorter ones are too
-short to tell and are left out.
+agree in all but `slack` of them. The masks meet every such overlap of SPAN words or more, wherever
+two words are replaced. Items of SHORTEST to SPAN - 1 words are sought whole, with replaced words in
+the same proportion (one from 7 words on); their seeds are the runs of words of which one must be
+left. Shorter ones are too short to tell and are left out.
 
 The test set is held in memory in blocks of at most BLOCK_CHARS characters, each of which is
 compared with all documents; so its size is bounded whatever the benchmark's.
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from . import textops as tx
 from .common import columns_of, filtered, ship
 
-MASKS = ("110110011011", "111010110101", "101101101110", "111100101011")
-SPAN = len(MASKS[0])
+MASKS = ("11000101111", "1101011011", "11101010101", "11011111", "111100111")  # of SPAN words with any two replaced, one mask meets none of the two
+SPAN = 12
 WIDTH = 13
 SLACK = 2
 SHORTEST = 5
@@ -74,18 +76,25 @@ class TestSet:
         self.codes, self.off = coded(*plain(texts))
         self.index = []
         size = np.diff(self.off)
-        for mask in [*MASKS, *("1" * n for n in range(SHORTEST, SPAN))]:
+        item = np.repeat(np.arange(len(size)), size)
+        masks = MASKS if width >= SPAN and slack <= 2 else ("1" * max(1, min(width, SPAN) // (slack + 1)),)
+        short = {n: n // (self.allowed(n) + 1) for n in range(SHORTEST, SPAN)}
+        for mask in dict.fromkeys([*masks, *("1" * n for n in short.values())]):
             h = seeds(self.codes, mask)
             at, doc = tx.window_docs(self.off, len(mask))
-            if len(mask) < SPAN:
-                at = at[size[doc] == len(mask)]
+            sizes = [n for n, k in short.items() if "1" * k == mask]
+            at = at[np.isin(size[doc], sizes) | ((size[doc] >= SPAN) & (mask in masks))]
             if not len(at):
                 continue
             order = np.argsort(h[at], kind="stable")
             bits = np.zeros(1 << 20, bool)
             bits[(h[at] >> np.uint64(44)).astype(np.int64)] = True
             self.index.append((mask, h[at][order], at[order], bits))
-        self.item = np.repeat(np.arange(len(size)), size)
+        self.item = item
+
+    def allowed(self, words: int) -> int:
+        """How many words of a stretch may be replaced."""
+        return self.slack if words >= SPAN else self.slack * words // max(self.width, SPAN)
 
     def hits(self, codes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Verified (document, item, words that agree), each pair once."""
@@ -109,8 +118,7 @@ class TestSet:
             if len(same) < w:
                 continue
             run = np.convolve(same, np.ones(w, np.int64), "valid")
-            allowed = self.slack if w >= SPAN else 0
-            if run.max() >= w - allowed:
+            if run.max() >= w - self.allowed(w):
                 found[d, t] = max(found.get((d, t), 0), int(same.sum()))
         if not found:
             z = np.zeros(0, np.int64)

@@ -405,6 +405,28 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontaminate.overlaps(d, b.where("false")).collect())
 
 
+def test_every_substitution_is_found():
+    """All placements of replaced words, and texts of mixed words, against brute force."""
+    import itertools
+
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    for n, item in ((n, [f"t{n}x{k}" for k in range(n)]) for n in (5, 6, 7, 9, 11, 12, 13, 14, 16)):
+        test = decontaminate.TestSet(np.array([1], object), pa.array([" ".join(item)]), 13, 2)
+        places = [c for m in range(4) for c in itertools.combinations(range(n), m)]
+        texts = [["q"] * 5 + [w if k not in c else "z" for k, w in enumerate(item)] + ["q"] * 5 for c in places]
+        texts += [[rng.choice([*item, "q"]) for _ in range(30)] for _ in range(50)]
+
+        def held(t):
+            w = min(13, n)
+            most = 2 if w >= 12 else 2 * w // 13
+            return any(sum(t[s + k] == item[i + k] for k in range(w)) >= w - most for i in range(n - w + 1) for s in range(len(t) - w + 1))
+
+        got = [bool(x) for x in decontaminate._found(test, pa.array([" ".join(t) for t in texts]))[0]]
+        assert got == [held(t) for t in texts], n
+
+
 def test_empty_tables(spark):
     d = frame(spark, [(1, "x")]).where("false")
     y = spark.createDataFrame([], T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "quality", "toxic")]))
