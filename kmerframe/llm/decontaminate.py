@@ -11,11 +11,10 @@ the same proportion (one from 7 words on); their seeds are the runs of words of
 left. Shorter ones are too short to tell and are left out.
 
 The test set is held in memory in blocks of at most BLOCK_CHARS characters, each of which is
-compared with all documents; so its size is bounded whatever the benchmark's.
+compared with all documents, row by row; the results are the same whatever the number of blocks.
 
 Edge cases: null texts are empty; a null doc_id or item_id is kept; items with equal text are all
-reported; rows that share a doc_id are judged by themselves when the benchmark fits in one block and
-together otherwise; empty tables give no contamination; other columns are passed by.
+reported; rows that share a doc_id are judged by themselves; empty tables give no contamination; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -37,7 +36,6 @@ WIDTH = 13
 SLACK = 2
 SHORTEST = 5
 BLOCK_CHARS = 16_000_000
-SCHEMA = "doc_id long, n_items long, overlap long, items array<long>, contaminated boolean"
 
 WORD = np.zeros(256, bool)
 WORD[0x80:] = True
@@ -139,12 +137,15 @@ def _found(test: TestSet, texts: pa.Array) -> tuple[list[list], np.ndarray]:
     return items, overlap
 
 
-def _seek(test: TestSet):
+def _add(test: TestSet):
+    """Adds the findings of one block of the test set to those of the ones before."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             items, overlap = _found(test, b["text"])
-            n = np.array([len(x) for x in items], np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n), pa.array(overlap), pa.array([sorted(x, key=lambda v: (v is None, v)) for x in items], pa.list_(pa.int64())), pa.array(n > 0)], ["doc_id", "n_items", "overlap", "items", "contaminated"])
+            items = [sorted(x + y, key=lambda v: (v is None, v)) for x, y in zip(b["items"].to_pylist(), items, strict=True)]
+            overlap = np.maximum(b["overlap"].to_numpy(), overlap)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text"], pa.array(overlap, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "text", "overlap", "items"])
 
     return go
 
@@ -162,14 +163,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slack: i
     """doc_id, n_items, overlap (most words in common with an item), items, contaminated; a row per document."""
     ship(docs.sparkSession)
     d = columns_of(docs, doc_id="long", text="string")
-    parts = [d.mapInArrow(_seek(t), SCHEMA) for t in _tests(benchmark, width, slack)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    merged = every.groupBy("doc_id").agg(F.sum("n_items").alias("n_items"), F.max("overlap").alias("overlap"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-    return merged.withColumn("contaminated", F.col("n_items") > 0)
+    d = d.select("doc_id", "text", F.lit(0).cast("long").alias("overlap"), F.array().cast("array<long>").alias("items"))
+    for test in _tests(benchmark, width, slack):
+        d = d.mapInArrow(_add(test), "doc_id long, text string, overlap long, items array<long>")
+    n = F.size("items").cast("long")
+    return d.select("doc_id", n.alias("n_items"), "overlap", "items", (n > 0).alias("contaminated"))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -427,6 +427,18 @@ def test_every_substitution_is_found():
         assert got == [held(t) for t in texts], n
 
 
+def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
+    rng = random.Random(41)
+    items = [" ".join(f"b{rng.randrange(3000)}" for _ in range(20)) for _ in range(30)]
+    rows = [(None, items[0]), (None, "clean text"), (3, items[1]), (3, "also clean"), (3, f"{items[2]} and {items[9]}"), (4, items[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = lambda: sorted(map(str, decontaminate.overlaps(docs, bench).collect()))
+    whole = got()
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 700)
+    assert got() == whole and len(whole) == len(rows)
+
+
 def test_empty_tables(spark):
     d = frame(spark, [(1, "x")]).where("false")
     y = spark.createDataFrame([], T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "quality", "toxic")]))
