@@ -31,14 +31,14 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
 STRATUM = 4096
-SCHEMA = "doc_id long, tag int, source string, size long, rate double, copies int"
+SCHEMA = "doc_id long, tag int, row long, source string, size long, rate double, copies int"
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = tx.column_bytes(b["text"])
         n = [np.diff(tx.words_of(data[off[i] : off[j]], off[i : j + 1] - off[i])[2]) for i, j in tx.chunks(off)]
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["tag"], b["source"], pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["doc_id", "tag", "source", "size"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["tag"], b["row"], b["source"], pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], ["doc_id", "tag", "row", "source", "size"])
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, total: float, cap: float = CAP) -> np.ndarray:
@@ -85,7 +85,7 @@ def _round(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     ids = t["doc_id"].to_numpy()
     copies = np.zeros(len(size), np.int32)
     due = empty = 0.0
-    for i in np.lexsort((t["tag"].to_numpy(), ids, -size)).tolist():
+    for i in np.lexsort((t["row"].to_numpy(), t["tag"].to_numpy(), ids, -size)).tolist():
         if size[i]:
             due += rate[i] * size[i]
             n = min(CAP, max(0.0, np.floor(due / size[i] + 0.5)))
@@ -95,15 +95,16 @@ def _round(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
             n = min(CAP, np.floor(empty + 0.5))
             empty -= n
         copies[i] = int(n)
-    return t.select(["doc_id", "tag", "source", "size", "rate"]).append_column("copies", pa.array(copies))
+    return t.select(["doc_id", "tag", "row", "source", "size", "rate"]).append_column("copies", pa.array(copies))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """doc_id, tag, source, size, rate, copies, source_size, target for every document."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, row: str | None = None) -> DataFrame:
+    """doc_id, tag, row (the column of that name: a key that tells repeated rows apart), source, size, rate, copies, source_size, target for every document."""
     spark = docs.sparkSession
     ship(spark)
-    d = columns_of(docs, doc_id="long", text="string", source="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.hash("text").alias("tag"), "source", "text")
-    sized = written(d.mapInArrow(_sizes, "doc_id long, tag int, source string, size long"), "sized").withColumn("base", F.lit(1.0))
+    named = docs.withColumn("__row_key", F.col(row) if row else F.lit(0))
+    d = columns_of(named, doc_id="long", text="string", source="string", __row_key="long").withColumnRenamed("__row_key", "row").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.hash("text").alias("tag"), "row", "source", "text")
+    sized = written(d.mapInArrow(_sizes, "doc_id long, tag int, row long, source string, size long"), "sized").withColumn("base", F.lit(1.0))
     summed = written(sized.groupBy("source", "base").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "sources")
     rows = summed.groupBy("source").agg(F.sum("size"), F.sum("n")).orderBy(F.col("source").asc_nulls_last()).collect()
     sizes = np.array([r[1] for r in rows], float)
@@ -112,9 +113,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     table = [(r[0], int(r[1]), float(g), float(np.exp(l[r[0]])), -(-int(r[2]) // STRATUM)) for r, g in zip(rows, goal, strict=True)]
     per = spark.createDataFrame(table, "_s string, source_size long, target double, factor double, strata int")
     rated = sized.join(per, F.col("source").eqNullSafe(F.col("_s"))).withColumn("rate", F.least(F.col("base") * F.col("factor"), F.lit(CAP)))
-    dealt = rated.select("doc_id", "tag", "source", "size", "rate", F.expr("cast(pmod(xxhash64(doc_id, tag), strata) as int)").alias("stratum"))
+    dealt = rated.select("doc_id", "tag", "row", "source", "size", "rate", F.expr("cast(pmod(xxhash64(doc_id, tag), strata) as int)").alias("stratum"))
     whole = dealt.groupBy("source", "stratum").applyInArrow(_round, SCHEMA)
-    return whole.join(per, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "tag", "source", "size", "rate", "copies", "source_size", "target")
+    return whole.join(per, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "tag", "row", "source", "size", "rate", "copies", "source_size", "target")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +125,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents of the mix, a row per copy."""
-    copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("__k"), F.col("tag").alias("__tag"), F.col("copies").alias("__copies")).dropDuplicates(["__k", "__tag"])
-    met = docs.join(copies, (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == copies["__k"]) & (F.hash(docs["text"]) == copies["__tag"]))
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    copies = mix(rows, row="__row").where("copies > 0").select(F.col("row").alias("__row"), F.col("copies").alias("__copies"))
+    met = rows.join(copies, "__row")
     return met.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))

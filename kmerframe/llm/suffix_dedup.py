@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textops as tx
 from .common import NO_ID
@@ -78,7 +79,7 @@ def suffix_classes(width: int):
     return classes
 
 
-def _cut(width: int, digest: bool):
+def _cut(width: int, digest: bool, carry: tuple[str, ...] = ("doc_id", "tag")):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = tx.column_bytes(b["text"])
@@ -115,7 +116,7 @@ def _cut(width: int, digest: bool):
             if digest:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(length), pa.array(removed), pa.array(spans), pa.array(out, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
             else:
-                yield pa.RecordBatch.from_arrays([ids, b["tag"], pa.array(removed), pa.array(out, pa.string())], ["doc_id", "tag", "n_removed", "text"])
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in carry), pa.array(removed), pa.array(out, pa.string())], [*carry, "n_removed", "text"])
 
     return go
 
@@ -140,8 +141,12 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts lose later copies of long strings; the first copy stays."""
-    out = dedup(docs, WIDTH, "first").select(F.col("doc_id").alias("__k"), F.col("tag").alias("__tag"), F.col("text").alias("__text"))
-    rest = docs.select(*(docs[f"`{c}`"] for c in docs.columns if c not in ("text", "n_chars")), F.hash("text").alias("__rest")).dropDuplicates(["doc_id", "__rest"])
-    met = out.join(rest, out["__k"].eqNullSafe(rest["doc_id"]) & (out["__tag"] == rest["__rest"]))
-    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
-    return met.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    spans = repeated(docs, unit="byte", width=WIDTH, gram=GRAM, classes=suffix_classes(WIDTH), rule="first")
+    by = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
+    names = {c: f"__c{k}" for k, c in enumerate(docs.columns) if c not in ("text", "n_chars")}
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.coalesce(doc_id, F.lit(NO_ID)).alias("doc_id"), F.hash(text).alias("tag"), text.alias("text")).join(by, ["doc_id", "tag"], "left")
+    carried = rows.select(*names.values())
+    out = rows.mapInArrow(_cut(WIDTH, False, tuple(names.values())), T.StructType([*carried.schema.fields, T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())]))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*((new[c] if c in new else F.col(names[c])).alias(c) for c in docs.columns))

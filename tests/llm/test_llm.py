@@ -439,6 +439,20 @@ def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
     assert got() == whole and len(whole) == len(rows)
 
 
+def test_stages_carry_the_columns_of_each_row(spark):
+    rows = [(5, "some words of a text " * 3, "en", "a", 0), (5, "some words of a text " * 3, "de", "b", 0), (None, "other " * 90, "en", "a", 0), (None, "other " * 90, "fr", "c", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.lang, r.source) for r in suffix_dedup.stage(spark, docs, "").collect())
+    assert got == [(0, "en", "a"), (0, "fr", "c"), (5, "de", "b"), (5, "en", "a")]
+    same = spark.createDataFrame([(1, "one two three four", "s", 1)] * 9 + [(2, "five six", "s", 1), (3, "five six seven", "t", 1)] * 40, "doc_id long, text string, source string, n int")
+    for _ in range(2):
+        want = {r.source: r.t for r in mixing.mix(same).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t")).collect()}
+        took = Counter()
+        for r in mixing.stage(spark, same, "").collect():
+            took[r.source] += len(r.text.split())
+        assert dict(took) == want
+
+
 def test_empty_tables(spark):
     d = frame(spark, [(1, "x")]).where("false")
     y = spark.createDataFrame([], T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "quality", "toxic")]))
