@@ -5,15 +5,15 @@ Labelled examples (a bounded sample) and texts are TF-IDF vectors over all terms
 with idf counted over all documents. Terms of few examples have an inverted index, which gives their
 part of all cosines; for the others an index over blocks of examples holds each block's largest
 weight of a term. A block is visited only while the bound that these give can still beat the K-th
-best cosine, so the K nearest are exact. Their votes, weighted by closeness, are calibrated by
-logistic regression on leave-one-out votes, weighted back to the label rate of all labelled rows.
-`evidence` has the ids of the nearest examples.
+best cosine, so the K nearest are exact. Their votes, each weighted by its squared cosine, are
+calibrated by logistic regression on leave-one-out votes, weighted back to the label rate of all
+labelled rows. `evidence` has the ids of the nearest examples.
 
 Edge cases: a null or empty text, or one without a term of the examples, gets the rate that such
 examples have (the rate of all, if there are none); ties between examples go to the earlier in a fixed order; with no labels of both
-kinds all scores are that label's rate (0 without labels); a null doc_id is never learned from nor
-held out; repeated labels each count; an empty table gives an empty result; other columns are
-passed by.
+kinds all scores are that label's rate (0 without labels); labels of absent documents don't count; a null
+doc_id is never learned from nor held out; of rows equal in id, label and text one is learned from; a very
+long text is counted whole; an empty table gives an empty result; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -32,69 +32,93 @@ from .common import columns_of, filtered, ship
 from .decontaminate import plain
 
 SAMPLE = 2048  # labelled rows of each label
-PREFIX = (4, 5, 6, 7, 8, 9)
-K = 16
+PREFIX = (4, 6, 8)
+K = 128
+PRIOR = 0.5  # votes of the closest example that each label has to begin with
 BLOCK = 64
-OFTEN = 1 / 32  # share of the examples from which a term is held by blocks
-TOGETHER = 256  # texts whose nearest examples are sought together
+OFTEN = 1 / 16  # share of the examples from which a term is held by blocks
+TOGETHER = 128  # texts whose nearest examples are sought together
 COUNTED = 1 << 14  # terms whose counts are summed in one row
+LOOK = 22  # bits of a hash by which a term is looked up
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>"
 
 
-def terms(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(documents, term hashes) of all occurrences, a kind of term at a time."""
+def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Documents and distinct words of all occurrences of words; for each kind of term the hashes of
+    the distinct words' terms, 0 where a word has none."""
     s, e, o = tx.words_of(data, off)
-    if not len(s):
-        return
     doc = np.repeat(np.arange(len(off) - 1), np.diff(o))
+    if not len(s):
+        return doc, doc, [np.zeros(0, np.uint64) for _ in (0, *PREFIX)]
     up, down = tx.powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(tx.byte_codes(data) * up[:-1], out=total[1:])
-    for p in (0, *PREFIX):
-        a, z, d = s, e, doc
-        if p:
-            long = e - s > p
-            a, d = s[long], doc[long]
-            z = a + p
-        h = (total[z] - total[a]) * down[a] + np.uint64(p + 1)
-        yield d, (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+
+    def hashed(a: np.ndarray, z: np.ndarray, kind: int) -> np.ndarray:
+        h = (total[z] - total[a]) * down[a] + np.uint64(kind + 1)
+        return (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+
+    whole = hashed(s, e, 0)
+    _, first, word = np.unique(whole, return_index=True, return_inverse=True)
+    a, z = s[first], e[first]
+    return doc, word, [whole[first], *(np.where(z - a > p, hashed(a, np.minimum(a + p, z), p), np.uint64(0)) for p in PREFIX)]
 
 
 def vocabulary(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """All terms, sorted."""
     found = [np.zeros(0, np.uint64)]
     for i, j in tx.chunks(off):
-        found.append(np.unique(np.concatenate([h for _, h in terms(data[off[i] : off[j]], off[i : j + 1] - off[i])] or found[:1])))
-    return np.unique(np.concatenate(found))
+        found.append(np.unique(np.concatenate(terms(data[off[i] : off[j]], off[i : j + 1] - off[i])[2])))
+    names = np.unique(np.concatenate(found))
+    return names[names != 0]
+
+
+class Names:
+    """Places of terms among the sorted hashes: by their first LOOK bits, then one after the other."""
+
+    def __init__(self, names: np.ndarray):
+        self.names = names
+        top = (names >> np.uint64(64 - LOOK)).astype(np.int64)
+        self.first = np.searchsorted(top, np.arange(1 << LOOK)).astype(np.int32)
+        self.most = int(np.bincount(top).max()) if len(names) else 0
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """-1 for hashes that aren't names."""
+        out = np.full(len(h), -1, np.int64)
+        at, left = self.first[(h >> np.uint64(64 - LOOK)).astype(np.int64)], np.arange(len(h))
+        for _ in range(self.most):
+            ok = at < len(self.names)
+            left, at = left[ok], at[ok]
+            x = self.names[at]
+            same = x == h[left]
+            out[left[same]] = at[same]
+            go = x < h[left]
+            left, at = left[go], at[go] + 1
+        return out
 
 
-def counted(names: np.ndarray, data: np.ndarray, off: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each chunk i, j of documents: (document, place in `names`) of its terms, sorted, and how often."""
+def counted(names: Names, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each chunk i, j of documents: (document, place among the names) of its terms, sorted, and how often."""
+    width = max(len(names.names), 1)
     for i, j in tx.chunks(off):
         got = [np.zeros(0, np.int64)]
-        for d, h in terms(data[off[i] : off[j]], off[i : j + 1] - off[i]) if len(names) else ():
-            k = np.flatnonzero(bits[(h >> np.uint64(42)).astype(np.int64)])
-            at = np.searchsorted(names, h[k])
-            at[at == len(names)] = 0
-            ok = names[at] == h[k]
-            got.append(d[k][ok] * len(names) + at[ok])
-        key, n = np.unique(np.concatenate(got), return_counts=True)
-        doc, term = np.divmod(key, max(len(names), 1))
-        yield i, j, doc, term, n
-
-
-def known(names: np.ndarray) -> np.ndarray:
-    """Which beginnings of 22 bits the terms have."""
-    bits = np.zeros(1 << 22, bool)
-    bits[(names >> np.uint64(42)).astype(np.int64)] = True
-    return bits
+        if len(names.names):
+            doc, word, kinds = terms(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            for h in kinds:
+                at = names.places(h)[word]
+                k = np.flatnonzero(at >= 0)
+                got.append(doc[k] * width + at[k])
+        key = np.sort(np.concatenate(got))
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        doc, term = np.divmod(key[head], width)
+        yield i, j, doc, term, np.diff(np.r_[head, len(key)])
 
 
 def _frequencies(names: np.ndarray):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, total = known(names), np.zeros(len(names), np.int64)
+        table, total = Names(names), np.zeros(len(names), np.int64)
         for b in batches:
-            for _, _, _, term, _ in counted(names, *plain(b["text"]), bits):
+            for _, _, _, term, _ in counted(table, *plain(b["text"])):
                 total += np.bincount(term, minlength=len(names))
         for part, s in enumerate(range(0, len(names), COUNTED)):
             at = np.flatnonzero(total[s : s + COUNTED])
@@ -126,8 +150,8 @@ class Index:
         the examples are all documents."""
         data, off = plain(texts)
         self.terms = vocabulary(data, off) if names is None else names
-        self.bits = known(self.terms)
-        parts = [(doc + i, term, n) for i, _, doc, term, n in counted(self.terms, data, off, self.bits)]
+        self.names = Names(self.terms)
+        parts = [(doc + i, term, n) for i, _, doc, term, n in counted(self.names, data, off)]
         doc, term, n = (np.concatenate([p[c] for p in parts] or [np.zeros(0, np.int64)]) for c in range(3))
         del parts
         if found is None:
@@ -179,11 +203,11 @@ class Index:
         self.most = self.wide.max(2) if self.blocks else np.zeros((len(often), 0))
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("bits", "weight", "row", "wide", "most")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("names", "weight", "row", "wide", "most")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.bits = known(self.terms)
+        self.names = Names(self.terms)
         self._prepare()
 
     @property
@@ -195,7 +219,7 @@ class Index:
 
     def vectors(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Sparse unit TF-IDF vectors over the vocabulary."""
-        for i, j, doc, term, n in counted(self.terms, data, off, self.bits):
+        for i, j, doc, term, n in counted(self.names, data, off):
             w = (1 + np.log(n)) * self.idf[term]
             w = w / np.sqrt(np.bincount(doc, w**2, j - i))[doc]
             cut = np.searchsorted(doc, np.arange(j - i + 1))
@@ -221,7 +245,8 @@ class Index:
         ask[doc[~few], row[~few]] = w[~few]
         bound = part.reshape(len(vectors), self.blocks, BLOCK).max(2) + ask @ self.most
         seen = np.zeros(bound.shape, bool)
-        kth = lambda: np.partition(part, width - K, 1)[:, width - K]
+        k = min(K, width)
+        kth = lambda: np.partition(part, width - k, 1)[:, width - k]
         least = kth() if self.blocks else np.zeros(len(vectors))
         for step, b in enumerate(np.argsort(-bound.sum(0), kind="stable").tolist()):
             if step in (4, 16):
@@ -238,9 +263,11 @@ class Index:
 
     def vote(self, at: np.ndarray, sim: np.ndarray) -> float:
         """Log odds of the neighbours' labels, each weighted by closeness."""
-        w = 1 / (1.05 - np.minimum(sim, 1))
+        if not len(at):
+            return 0.0
+        w = sim**2
         yes = (w * self.y[at]).sum()
-        return float(np.log((yes + 0.5) / (w.sum() - yes + 0.5)))
+        return float(np.log((yes + PRIOR * w.max()) / (w.sum() - yes + PRIOR * w.max())))
 
     @staticmethod
     def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -284,13 +311,12 @@ def fitted(docs: DataFrame, labels: DataFrame, examples: DataFrame | None = None
     d = columns_of(docs, doc_id="long", text="string")
     source = d if examples is None else columns_of(examples, doc_id="long", text="string")
     y = columns_of(labels, doc_id="long", toxic="int").where(F.col("toxic").isin(0, 1) & (tm.fold("doc_id", folds) != 0))
+    y = y.join(source.select("doc_id"), "doc_id", "left_semi")
     n1, n0 = y.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     if not n1 or not n0:
         return (1.0, 1) if n1 else (0.0, 0)
-    few = tm.sample(y.where("toxic = 1"), "doc_id", limit, 8).union(tm.sample(y.where("toxic = 0"), "doc_id", limit, 8))
-    rows = source.join(F.broadcast(few), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])  # 2 * limit labelled ids, ties aside
-    if not rows.num_rows:
-        return n1 / (n1 + n0), int(n1 >= n0)
+    few = tm.sample(y, ("doc_id",), "toxic", lambda n, total: limit, 8)
+    rows = tm.held(source.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text"), 2 * limit, 8)  # `few`: 2 * limit ids
     texts = rows["text"].combine_chunks()
     names = vocabulary(*plain(texts))
     return Index(rows["doc_id"].to_numpy(), texts, rows["toxic"].to_numpy().astype(np.int64), n1 / (n1 + n0), names, frequencies(d, names), d.count())
