@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from ..plans.session import ship  # noqa: F401
 
 NO_ID = -(2**63)  # stands for a null id in internal keys; it orders first
-TEXT_BATCH = 512  # rows of text an Arrow batch holds at most in our own stages
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Unset, it is a folder of our own, for local masters only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='kmerframe-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -5,8 +5,9 @@ A text's vector is the mean embedding of all its (lower-case) byte 3- and 4-gram
 linear in it. A temperature fitted on a part of the sample that isn't trained on makes the score a
 probability; below the least score at which that part is right often enough, `rejected` is true.
 
-Fitted on at most SAMPLE rows with a language whose fold isn't the held-out one; applied to every
-whole text. Edge cases: a null text, or one without a letter, is `und` with score 0; with no row to
+Fitted on SAMPLE rows (LEAST of each of the most frequent languages at least) with a language whose
+fold isn't the held-out one; applied to every whole text, however long; ties of classes go to the
+first in order of names. Edge cases: a null text, or one without a letter, is `und` with score 0; with no row to
 learn from all are `und`; a null doc_id is never trained on nor held out; repeated rows are
 predicted alike; an empty table gives an empty result; other columns are passed by.
 """
@@ -25,7 +26,8 @@ from . import textmodel as tm
 from . import textops as tx
 from .common import columns_of, ship
 
-SAMPLE = 2048
+SAMPLE = 2048  # rows, LEAST of each language at least
+LEAST = 64
 DIMS = 16
 EPOCHS = 6
 RATE = 0.5
@@ -108,7 +110,7 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, limit: int = SAMPLE
     ship(docs.sparkSession)
     d = columns_of(docs, doc_id="long", text="string", lang="string")
     learn = d.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (tm.fold("doc_id", folds) != held))
-    rows = tm.sample(learn, "doc_id", limit, 6).select("doc_id", "text", "lang").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")])
+    rows = tm.held(tm.sample(learn, ("doc_id", "text"), "lang", lambda n, total: max(LEAST, limit * n // total), 6), limit + LEAST * tm.STRATA, 6)
     ask = d.select("doc_id", "text", F.coalesce(tm.fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if not rows.num_rows:
         return ask.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))

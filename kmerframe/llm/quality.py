@@ -5,10 +5,11 @@ shared by all grades, gives a location f. With ordered thresholds t_1 < t_2 < ..
 P(grade <= k) = sigmoid(t_k - f). The expected grade and the tail probability P(grade >= cut), cut
 by default the highest grade, serve for selection: a document is kept if its tail is 0.5 or more.
 
-Fitted on at most SAMPLE labelled rows outside the held-out fold (crc32 of doc_id modulo 5 is 0),
-applied to every whole text. Edge cases: a null text counts as empty and gets the thresholds' own
+Fitted on SAMPLE labelled rows (LEAST of each grade at least) outside the held-out fold (crc32 of
+doc_id modulo 5 is 0), applied to every whole text, however long. Labels of absent documents don't count. Edge cases: a null text counts as empty and gets the thresholds' own
 distribution; with no labelled row, tail and grade are null and all are kept; with a single grade
-every tail is 1; a null doc_id is never trained on nor held out; repeated labels each count; an
+every tail is 1; a null doc_id is never trained on nor held out; of rows equal in id, grade and
+text one is learned from; equal texts are graded alike; an
 empty table gives an empty result; other columns are passed by.
 """
 
@@ -25,7 +26,8 @@ from . import textmodel as tm
 from . import textops as tx
 from .common import columns_of, ship
 
-SAMPLE = 4096
+SAMPLE = 4096  # labelled rows, LEAST of each grade at least
+LEAST = 64
 EPOCHS = 12
 RATE = 3.0
 SCHEMA = "doc_id long, held_out boolean, expected_grade double, tail double, kept boolean"
@@ -97,9 +99,9 @@ def _score(model: Ordinal, level: int):
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, limit: int, salt: int) -> pa.Table:
     """At most `limit` labelled rows (doc_id, text, y) outside fold 0, in a fixed order."""
     y = columns_of(labels, doc_id="long", **{label: "int"}).where(F.col(label).isNotNull() & (tm.fold("doc_id", folds) != 0))
-    few = tm.sample(y, "doc_id", limit, salt).select("doc_id", F.col(label).alias("y"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # `limit` rows, ties aside
-    return rows.toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")])
+    y = y.join(docs.select("doc_id"), "doc_id", "left_semi").withColumnRenamed(label, "y")
+    few = tm.sample(y, ("doc_id",), "y", lambda n, total: max(LEAST, limit * n // total), salt)
+    return tm.held(docs.join(F.broadcast(few), "doc_id").select("doc_id", "y", "text"), limit + LEAST * tm.STRATA, salt)  # `few`: as many ids
 
 
 def grade(docs: DataFrame, labels: DataFrame, label: str = "quality", cut: int | None = None, limit: int = SAMPLE) -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textops as tx
 
 SIZES = (3, 4)
 BITS = 14
 BUCKETS = len(SIZES) << BITS
+STRATA = 256  # values of a label that a model learns at most
+SLACK = 4  # times its quota that of a stratum passes the first cut, by expectation
 
 
 def grams(data: np.ndarray, k: int) -> np.ndarray:
@@ -67,12 +73,29 @@ def stacked(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return at, share, np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
 
 
-def sample(df: DataFrame, key: str, limit: int, salt: int) -> DataFrame:
-    """At most `limit` rows of `df` (ties aside): those whose key has the least hash. Texts don't
-    take part in the sort."""
-    h = F.xxhash64(F.lit(salt), F.col(key))
-    last = df.select(h.alias("h")).orderBy("h").limit(limit).agg(F.max("h")).first()[0]
-    return df.where(h <= F.lit(last)) if last is not None else df.where(F.lit(False))
+def sample(df: DataFrame, columns: tuple[str, ...], stratum: str, quota: Callable[[int, int], int], salt: int, strata: int = STRATA) -> DataFrame:
+    """Of each value of `stratum` (of the `strata` most frequent) quota(rows of it, rows of all) rows at
+    most: those whose `columns` have the least hash. Rows equal in them count once. First a share
+    of each stratum by hash, then the exact number of what that leaves: no stratum is sorted whole."""
+    counts = df.groupBy(stratum).count().orderBy(F.col("count").desc(), stratum).limit(strata).collect()
+    total = sum(n for _, n in counts)
+    table = [(s, quota(n, total), SLACK * quota(n, total) / n) for s, n in counts]
+    kind = df.select(stratum).schema.fields[0].dataType
+    quotas = df.sparkSession.createDataFrame(table, T.StructType([T.StructField(stratum, kind), T.StructField("__quota", T.LongType()), T.StructField("__share", T.DoubleType())]))  # `strata` rows
+    few = df.join(F.broadcast(quotas), stratum).withColumn("__h", F.xxhash64(F.lit(salt), *columns))
+    few = few.where(F.shiftrightunsigned("__h", 11) / F.lit(2.0**53) < F.col("__share")).dropDuplicates([stratum, "__h"])
+    few = few.withColumn("__n", F.row_number().over(Window.partitionBy(stratum).orderBy("__h"))).where("__n <= __quota")
+    return few.select(*df.columns)
+
+
+def held(df: DataFrame, limit: int, salt: int) -> pa.Table:
+    """The rows of `df`; of more than `limit` those with the least hash, equal rows once."""
+    if df.count() > limit:
+        h = F.xxhash64(F.lit(salt), *df.columns)
+        last = df.select(h.alias("h")).orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+        df = df.where(h <= F.lit(last)).withColumn("__h", h).dropDuplicates(["__h"]).drop("__h")
+    rows = df.toArrow()
+    return rows.sort_by([(c, "ascending") for c in df.columns])
 
 
 def fold(key: str, n: int):
