@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import ship  # noqa: F401
@@ -48,6 +48,35 @@ def columns_of(df: DataFrame, **defaults: str) -> DataFrame:
     return df.select(*(df[f"`{c}`"].cast(kind).alias(c) for c, kind in defaults.items()))
 
 
+def tag(text) -> Column:
+    """Tells texts under one id apart; rows equal in both are alike to every operator that uses it."""
+    return F.xxhash64(text)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (null: NO_ID), tag, text. Two unlike texts under one id share a tag with a chance of 2^-64."""
+    d = columns_of(docs, doc_id="long", text="string")
+    return d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), tag("text").alias("tag"), "text")
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose (doc_id, tag) aren't among `keys`."""
+    held = own_names(docs)
+    there = (held["__id"] == keys["doc_id"]) & (held["__tag"] == keys["tag"])
+    return restored(held.join(keys, there, "left_anti"), docs)
+
+
+def own_names(docs: DataFrame) -> DataFrame:
+    """`docs` under names that clash with nothing (__0, __1, ...), and __id, __tag of each row."""
+    names = [F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(docs.columns)]
+    return docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__id"), tag(F.col("text").cast("string")).alias("__tag"))
+
+
+def restored(held: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of `docs` under their names again; `new` ones in place of theirs."""
+    return held.select(*(new.get(c, F.col(f"__{k}")).alias(c) for k, c in enumerate(docs.columns)))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) for every node of `edges` (a, b: long): the least node it reaches.
 

@@ -31,7 +31,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
 STRATUM = 4096
-SCHEMA = "doc_id long, tag int, row long, source string, size long, rate double, copies int"
+SCHEMA = "doc_id long, tag long, row long, source string, size long, rate double, copies int"
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +103,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     spark = docs.sparkSession
     ship(spark)
     named = docs.withColumn("__row_key", F.col(row) if row else F.lit(0))
-    d = columns_of(named, doc_id="long", text="string", source="string", __row_key="long").withColumnRenamed("__row_key", "row").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.hash("text").alias("tag"), "row", "source", "text")
-    sized = written(d.mapInArrow(_sizes, "doc_id long, tag int, row long, source string, size long"), "sized").withColumn("base", F.lit(1.0))
+    d = columns_of(named, doc_id="long", text="string", source="string", __row_key="long").withColumnRenamed("__row_key", "row").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("tag"), "row", "source", "text")
+    sized = written(d.mapInArrow(_sizes, "doc_id long, tag long, row long, source string, size long"), "sized").withColumn("base", F.lit(1.0))
     summed = written(sized.groupBy("source", "base").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "sources")
     rows = summed.groupBy("source").agg(F.sum("size"), F.sum("n")).orderBy(F.col("source").asc_nulls_last()).collect()
     sizes = np.array([r[1] for r in rows], float)

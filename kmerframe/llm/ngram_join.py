@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import NO_ID, components, ship, written
-from .repeats import binary, keyed
+from .common import NO_ID, components, keyed, ship, written
+from .repeats import binary
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -76,7 +76,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("print", pa.binary()), ("sig", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("print", pa.binary()), ("sig", pa.binary())])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, repeats: bool = True) ->
     spark = docs.sparkSession
     ship(spark)
     d = keyed(docs)
-    signed = written(d.mapInArrow(_sign, "doc_id long, tag int, print binary, sig binary"), "signed")
+    signed = written(d.mapInArrow(_sign, "doc_id long, tag long, print binary, sig binary"), "signed")
     classes = written(
         signed.where("print is not null").groupBy("print").agg(F.min(F.struct("doc_id", "tag")).alias("f"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig")).select("print", F.xxhash64("print").alias("node"), "f.doc_id", "f.tag", "copies", "sig"),
         "classes",

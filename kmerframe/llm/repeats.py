@@ -26,23 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import NO_ID, columns_of, ship, written
+from .common import keyed, ship, written
 
 HOT = 2048
 FLUSH_BYTES = 1 << 20
-PLACE = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("start", "<i4")])
+PLACE = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i4")])
 RUNS = "anchor long, run long, windows int, places binary"
-FOUND = "kind byte, anchor long, run long, windows int, n long, doc_id long, tag int, start int, fdoc long, fstart int, hot boolean"
+FOUND = "kind byte, anchor long, run long, windows int, n long, doc_id long, tag long, start int, fdoc long, fstart int, hot boolean"
 SEGMENTS = "anchor long, run long, windows int, n long, fdoc long, fstart int, hot boolean, body binary"
 RANGES = "anchor long, run long, off int, len int, fdoc long, fstart int"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id (null: NO_ID), tag (a hash of the text, so that rows that share an id stay apart), text."""
-    d = columns_of(docs, doc_id="long", text="string")
-    return d.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.hash("text").alias("tag"), "text")
-
-
 def tokens(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
     if unit == "byte":
         return tx.byte_codes(data), offsets
@@ -88,7 +82,7 @@ def _runs(unit: str, width: int, gram: int):
     return go
 
 
-_FOUND = pa.schema([("kind", pa.int8()), ("anchor", pa.int64()), ("run", pa.int64()), ("windows", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("fdoc", pa.int64()), ("fstart", pa.int32()), ("hot", pa.bool_())])
+_FOUND = pa.schema([("kind", pa.int8()), ("anchor", pa.int64()), ("run", pa.int64()), ("windows", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("fdoc", pa.int64()), ("fstart", pa.int32()), ("hot", pa.bool_())])
 
 
 def _settle(rule: str):

@@ -130,7 +130,7 @@ def marked(docs: DataFrame, width: int = WIDTH, keep: str = "first") -> DataFram
 
 def dedup(docs: DataFrame, width: int = WIDTH, keep: str = "first") -> DataFrame:
     """doc_id, tag (repeats.keyed), n_removed, text without its repeated strings, cut between characters."""
-    return marked(docs, width, keep).mapInArrow(_cut(width, False), "doc_id long, tag int, n_removed long, text string").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return marked(docs, width, keep).mapInArrow(_cut(width, False), "doc_id long, tag long, n_removed long, text string").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     by = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
     names = {c: f"__c{k}" for k, c in enumerate(docs.columns) if c not in ("text", "n_chars")}
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.coalesce(doc_id, F.lit(NO_ID)).alias("doc_id"), F.hash(text).alias("tag"), text.alias("text")).join(by, ["doc_id", "tag"], "left")
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.coalesce(doc_id, F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text")).join(by, ["doc_id", "tag"], "left")
     carried = rows.select(*names.values())
     out = rows.mapInArrow(_cut(WIDTH, False, tuple(names.values())), T.StructType([*carried.schema.fields, T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())]))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
