@@ -77,6 +77,9 @@ def counted(seqs: DataFrame, p: SketchParams, alphabet: str = "dna") -> DataFram
     return occurrences(seqs, p, alphabet).groupBy("gid", "code").agg(F.least(F.sum("cnt"), F.lit(CEILING)).alias("cnt"))
 
 
+MOST_OCCURRENCES = 7  # fixed value
+
+
 def codes(seqs: DataFrame, p: SketchParams, alphabet: str = "dna", drop_zero: bool = True) -> DataFrame:
     """Distinct codes. drop_zero: without code 0, as for FASTA."""
     out = occurrences(seqs, p, alphabet).select("gid", "code").distinct()
@@ -84,9 +87,9 @@ def codes(seqs: DataFrame, p: SketchParams, alphabet: str = "dna", drop_zero: bo
 
 
 def min_occurrence(seqs: DataFrame, p: SketchParams, least: int, alphabet: str = "dna") -> DataFrame:
-    """Codes that occur `least` (1 to 7) times or more."""
-    if not 1 <= least <= 7:
-        raise ValueError("least must be from 1 to 7")
+    """Codes that occur `least` (1 to MOST_OCCURRENCES) times or more."""
+    if not 1 <= least <= MOST_OCCURRENCES:
+        raise ValueError(f"least must be from 1 to {MOST_OCCURRENCES}")
     return counted(seqs, p, alphabet).where(F.col("cnt") >= least).select("gid", "code")
 
 

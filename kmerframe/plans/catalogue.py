@@ -286,11 +286,27 @@ def dist_threshold(spark, d):
     return compare.within(compare.distances(pairs(spark, d)), 0.17).select("qid", "rid", r6("dist").alias("dist"))
 
 
-@query()
+_PVALUE = f"""{_PAIRS}, m AS (SELECT qid, rid, {_JAC} AS m, sqrt({_JAC} * (1 - {_JAC}) / (qry_s + ref_s - shared)) AS sd FROM q), v AS (SELECT qid, rid, m, m / sd / sqrt(2) AS z, 4 / (2 + m / sd / sqrt(2)) - 1 AS x FROM m),
+e AS (SELECT qid, rid, m, 0.5 * 2 / (2 + z) * exp(list_reduce({compare.ERFC}::DOUBLE[], lambda a, b: a * x + b) - z * z) AS p FROM v)"""
+
+
+@query(f"{_PVALUE} SELECT qid, rid, round(m, 6) AS metric, round(p, 6) AS p_value, round(p * (SELECT count(*) FROM z) * (SELECT count(*) FROM z), 4) AS fdr FROM e")
 def dist_pvalue(spark, d):
     b = basket(spark, d)
     n = b.select("gid").distinct().count()
-    return compare.p_values(compare.distances(pairs(spark, d), confidence=True), n * n).select("qid", "rid", "metric", "p_value", "fdr")
+    p = compare.p_values(compare.distances(pairs(spark, d), confidence=True), n * n)
+    return p.select("qid", "rid", r6("metric").alias("metric"), r6("p_value").alias("p_value"), F.round("fdr", 4).alias("fdr"))
+
+
+@query(
+    f"""{_PAIRS}, e AS (SELECT *, 1 - pow(1 - pow(4.0, -6), qry_s - shared) AS px, 1 - pow(1 - pow(4.0, -6), ref_s - shared) AS py FROM q),
+f AS (SELECT *, (shared - px * py * (qry_s + ref_s - 2 * shared) / (px + py - 2 * px * py)) / (qry_s + ref_s - shared) AS m FROM e)
+SELECT qid, rid, rank, round(m, 6) AS metric FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {_JAC} DESC, rid) AS rank FROM f) WHERE rank <= 3"""
+)
+def dist_topn_corrected(spark, d):
+    """The rank is by the uncorrected similarity, whatever the correction makes of it."""
+    n = compare.nearest(compare.distances(pairs(spark, d), k=4, level=1, correction=True), 3)
+    return n.select("qid", "rid", F.col("rank").cast("long").alias("rank"), r6("metric").alias("metric"))
 
 
 @query(
@@ -300,7 +316,7 @@ SELECT qid, rid, shared, rank, round(m, 6) AS metric FROM (SELECT *, row_number(
 )
 def dist_topn(spark, d):
     s = txt_sketch(spark, d)
-    p = compare.shared_counts(s, s).where("qid <> rid")
+    p = compare.mirrored(compare.shared_counts(s, s, ordered=True))
     n = compare.nearest(compare.distances(compare.with_sizes(p, s, s)), 5)
     return n.select("qid", "rid", "shared", F.col("rank").cast("long").alias("rank"), r6("metric").alias("metric"))
 
@@ -349,12 +365,12 @@ def abv_norms(spark, d):
     return coverage.norms(vectors(spark, d)).select("sample", r6("l2").alias("l2"), "dims")
 
 
-_FOUND = f"{_ABV}, j AS (SELECT a.sample AS qid, b.sample AS sample, a.pct AS x, b.pct AS y FROM abv a JOIN abv b USING (ref) WHERE a.sample % 10 = 1)"
+_FOUND = f"{_ABV}, j AS (SELECT a.sample AS qid, b.sample AS sample, a.pct AS x, b.pct AS y FROM abv a JOIN abv b USING (ref) WHERE a.sample % 20 = 0)"
 
 
 def _search(spark, d, measure):
     v = vectors(spark, d)
-    return coverage.search(v.where("sample % 10 = 1"), v, measure).select("qid", "sample", (r6("score") + 0.0).alias("score"))
+    return coverage.search(v.where("sample % 20 = 0"), v, measure).select("qid", "sample", (r6("score") + 0.0).alias("score"))
 
 
 @query(f"{_FOUND} SELECT qid, j.sample, round(sum(x * y) / (any_value(n.l2) * any_value(o.l2)), 6) AS score FROM j JOIN nrm n ON n.sample = qid JOIN nrm o ON o.sample = j.sample GROUP BY qid, j.sample")
@@ -375,27 +391,32 @@ def abv_search_l2(spark, d):
 # --- profiles and look-ups ------------------------------------------------------------------------
 
 
+EXCEED = 18  # shared codes that a reference must exceed
+
+
 def _profile(spark, d, depth):
-    c = yearly(spark, d).withColumn("depth", depth)
+    c = yearly(spark, d).where(F.col("shared") > EXCEED).withColumn("depth", depth)
     return profile.relative(c).select("sample", "ref", r6("depth").alias("depth"), r6("fraction").alias("fraction"))
 
 
+# Poisson depth at average coverage 0 to 10.
+_POISSON = "CASE WHEN pct > 5 THEN pct - 3 ELSE [0, .02, .08, .69, 1.57, 2.49, 3.41, 4.31, 5.20, 6.08, 6.94][floor(pct)::INT + 1]::DOUBLE END"
 _REL = "SELECT sample, ref, round(depth, 6) AS depth, round(depth / sum(depth) OVER (PARTITION BY sample), 6) AS fraction FROM x WHERE depth IS NOT NULL"
 
 
-@query(f"{_YEAR}, x AS (SELECT sample, ref, CASE WHEN avg > 5 THEN avg - 3 ELSE [0, .02, .08, .69, 1.57, 2.49, 3.41, 4.31, 5.20, 6.08, 6.94][floor(avg)::INT + 1]::DOUBLE END AS depth FROM cov) {_REL}")
+@query(f"{_YEAR}, x AS (SELECT sample, ref, {_POISSON} AS depth FROM cov WHERE shared > 18) {_REL}")
 def profile_poisson(spark, d):
-    return _profile(spark, d, profile.poisson_depth(F.col("avg")))
+    return _profile(spark, d, profile.poisson_depth(F.col("avgpct9899")))
 
 
-@query(f"{_YEAR}, x AS (SELECT sample, ref, CASE WHEN avg > 3 AND median > 1 AND shared > 18 THEN avg - 3 WHEN avg >= 2 AND shared > 18 THEN greatest(avg - 3, 0.01) END AS depth FROM cov) {_REL}")
+@query(f"{_YEAR}, x AS (SELECT sample, ref, CASE WHEN pct > 3 AND median > 1 AND shared > 18 THEN pct - 3 WHEN pct >= 2 AND shared > 18 THEN greatest(pct - 3, 0.01) END AS depth FROM cov) {_REL}")
 def profile_two_tier(spark, d):
-    return _profile(spark, d, profile.two_tier_depth(F.col("avg"), F.col("median"), F.col("shared")))
+    return _profile(spark, d, profile.two_tier_depth(F.col("avgpct9899"), F.col("median"), F.col("shared")))
 
 
-@query(f"{_YEAR}, x AS (SELECT sample, ref, CASE WHEN avg - 3 > 0.1 THEN avg - 3 ELSE pow(10, avg - 3.1) END AS depth FROM cov) {_REL}")
+@query(f"{_YEAR}, x AS (SELECT sample, ref, CASE WHEN pct - 3 > 0.1 THEN pct - 3 ELSE pow(10, pct - 3.1) END AS depth FROM cov WHERE shared > 18) {_REL}")
 def profile_deviation(spark, d):
-    return _profile(spark, d, profile.deviation_depth(F.col("avg")))
+    return _profile(spark, d, profile.deviation_depth(F.col("avgpct9899")))
 
 
 def _nodes(spark, d):
@@ -426,7 +447,9 @@ UNION ALL SELECT n_nationkey + 100, 'species', (r_regionkey + 10) || '|' || (n_n
 SELECT sample, node AS taxid, rank, taxpath, taxpathsn, printf('%.4f', pct) AS percentage FROM u JOIN p USING (node)"""
 )
 def cami_profile(spark, d):
-    return profile.cami(profile.rollup(_leaves(spark, d), _nodes(spark, d)), _nodes(spark, d))
+    nodes = _nodes(spark, d)
+    up = profile.ancestors(nodes)
+    return profile.cami(profile.rollup(_leaves(spark, d), nodes, up), nodes, up)
 
 
 @query("SELECT c_custkey AS line_no, c_nationkey::VARCHAR AS key, c_name AS line FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
@@ -435,10 +458,10 @@ def lookup_semi(spark, d):
     return lookups.semi(lines, table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("string").alias("key")))
 
 
-@query("SELECT n_nationkey::BIGINT AS pos, n_nationkey::VARCHAR AS key, coalesce((SELECT max_by(s_name, s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 3 = 0), '==no match==') AS line FROM nation")
+@query("SELECT n_nationkey::BIGINT AS pos, (2 * n_nationkey)::VARCHAR AS key, coalesce((SELECT max_by(s_name, s_suppkey) FROM supplier WHERE s_nationkey = 2 * n_nationkey), '==no match==') AS line FROM nation")
 def lookup_ordered(spark, d):
-    lines = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("line_no"), F.col("s_nationkey").cast("string").alias("key"), F.col("s_name").alias("line"))
-    return lookups.ordered(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_nationkey").cast("string").alias("key")), lines)
+    lines = table(spark, d, "supplier").select(F.col("s_suppkey").alias("line_no"), F.col("s_nationkey").cast("string").alias("key"), F.col("s_name").alias("line"))
+    return lookups.ordered(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), (F.col("n_nationkey") * 2).cast("string").alias("key")), lines)
 
 
 @query(

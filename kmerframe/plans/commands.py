@@ -1,4 +1,4 @@
-"""The command line: dist, set, composite, reverse and shuffle over stores (sources/store.py).
+"""The command line: dist, set, composite, profile, reverse and shuffle over stores (sources/store.py).
 
 python -m kmerframe.plans.commands COMMAND ... ; main(argv, spark) does the same within a program.
 Threads and memory are Spark's, so -p and -m are accepted and have no effect. dist gives the pairs
@@ -12,9 +12,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, coverage, decode, setops, sketch
+from ..operators import compare, coverage, decode, profile, setops, sketch
 from ..sources import fastx, shuf, store
 from .params import SketchParams
+from .session import written
 
 MEASURES = ("cosine", "l1", "l2")  # fixed order of composite -s
 
@@ -32,12 +33,13 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("inputs", nargs="*")
         return c
 
-    d = command("dist", "k p l L m n Q r o N D M O f", "A u --correction --keepskf --byread --all-pairs", k=int, n=int, Q=int, N=int, D=float, M=int, O=int)
+    d = command("dist", "k p l L m n Q r o N D M O f", "A u --correction --keepskf --byread --all-pairs --table", k=int, n=int, Q=int, N=int, D=float, M=int, O=int)
     d.set_defaults(k=8, L="2", n=1, Q=0, N=0, D=1.0, M=0, O=2)
     command("set", "s i p g o", "u q c P")
     command("composite", "r q o p s", "b i d", s=int)
     command("reverse", "o p L", "--byread")
-    command("shuffle", "k s l o", k=int, s=int, l=int).set_defaults(k=8, s=5, l=2)
+    command("profile", "t n m S o", S=int).set_defaults(m="poisson", S=18)
+    command("shuffle", "k s l o", "--usedefault", k=int, s=int, l=int).set_defaults(k=8, s=5, l=2)
     return top
 
 
@@ -52,6 +54,7 @@ def params_of(level: str, k: int) -> tuple[SketchParams, str | None]:
 def sketched(spark: SparkSession, paths: list[str], p: SketchParams, least: int = 1, quality: int = 0, counts: bool = False, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """(sketch, names) of sequence files, a genome each. Counts are for FASTQ alone."""
     kinds = [fastx.kind_of(x) for x in paths]
+    least = min(max(least, 1), sketch.MOST_OCCURRENCES)
     seqs = fastx.read_any(spark, paths, 0 if counts else quality)
     names = spark.createDataFrame([(k, x.rsplit("/", 1)[-1]) for k, x in enumerate(paths)], "gid long, name string")
     if counts and "fasta" not in kinds:
@@ -104,7 +107,7 @@ def compared(query: tuple, ref: tuple, kind: str = "jaccard", level: int = 2, ne
         d = compare.p_values(d, qn.count() * rn.count())
     d = compare.nearest(d, nearest, most) if nearest else compare.within(d, most)
     extra = (["p_value", "fdr"] if level > 0 else []) + (["m_lo", "m_hi", "d_lo", "d_hi"] if level > 1 else [])
-    return d.select("qry", "ref", "shared", "qry_s", "ref_s", "metric", "dist", *extra)
+    return d.select("qry", "ref", "shared", "qry_s", "ref_s", "metric", "dist", *extra, "rs")
 
 
 def _dist(spark: SparkSession, a) -> None:
@@ -125,7 +128,12 @@ def _dist(spark: SparkSession, a) -> None:
     if a.keepskf and shared is None:
         compare.shared_counts(query[0], ref[0]).write.parquet(f"{a.o}/shared_counts")
         shared = spark.read.parquet(f"{a.o}/shared_counts")
-    store.write_distances(compared(query, ref, ("jaccard", "containment")[a.M], a.O, a.N, a.D, a.correction, shared, a.all_pairs), f"{a.o}/distance")
+    kind = ("jaccard", "containment")[a.M]
+    found = compared(query, ref, kind, a.O, a.N, a.D, a.correction, shared, a.all_pairs)
+    if a.table:
+        store.write_distance_table(found, f"{a.o}/distance", kind, a.O)
+    else:
+        store.write_distances(found.drop("rs"), f"{a.o}/distance")
 
 
 def _params(meta: dict) -> SketchParams:
@@ -189,7 +197,7 @@ def _composite(spark: SparkSession, a) -> DataFrame | None:
     if a.d:
         return spark.read.parquet(*a.inputs).select("sample", "ref", "pct").orderBy("sample", "ref")
     if a.i:
-        spark.read.parquet(vectors).repartition("ref").sortWithinPartitions("ref").write.parquet(f"{a.r}/abundance_index")
+        coverage.index(spark.read.parquet(vectors)).write.parquet(f"{a.r}/abundance_index")
         return None
     if a.s is not None:
         found = coverage.search(spark.read.parquet(*a.inputs), spark.read.parquet(f"{a.r}/abundance_index"), MEASURES[a.s])
@@ -210,6 +218,23 @@ def _composite(spark: SparkSession, a) -> DataFrame | None:
     return coverage.ordered(cov).orderBy("sample", "place")
 
 
+def _tabbed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("sep", "\t").schema(schema).csv(path)
+
+
+def _profile(spark: SparkSession, a) -> None:
+    """Profile files from what composite -o wrote. -t leads from psid to species, -n has the nodes, -m is the
+    depth model, -S the shared codes that a reference must exceed."""
+    cov = spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).csv(a.inputs)
+    psids = _tabbed(spark, a.t, "psid string, node long")
+    nodes = _tabbed(spark, a.n, "node long, rank string, parent long, name string")
+    top = F.col("avgpct9899")
+    depth = {"poisson": profile.poisson_depth(top), "deviation": profile.deviation_depth(top), "two-tier": profile.two_tier_depth(top, F.col("median"), F.col("shared"), s=a.S)}[a.m]
+    found = written(profile.taxonomy(cov, psids, nodes, depth, a.S), "profile")
+    for r in found.select("sample").distinct().toLocalIterator():  # a file for each sample
+        spark.createDataFrame([(x,) for x in profile.cami_lines(found, r.sample)], "value string").coalesce(1).write.text(f"{a.o}/{r.sample}.profile")
+
+
 def _reverse(spark: SparkSession, a) -> None:
     if a.byread:
         reads = spark.read.parquet(a.inputs[0])
@@ -226,10 +251,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> Da
     """Runs a command; returns what it would print, or None if it wrote its result."""
     a = _parser().parse_args(argv)
     if a.command == "shuffle":
-        shuf.write_shuf(a.o if a.o.endswith(".shuf") else f"{a.o}.shuf", SketchParams(a.k, a.s, a.l))
+        out = a.o or "./default"
+        shuf.write_shuf(out if out.endswith(".shuf") else f"{out}.shuf", SketchParams(8, 5, 2) if a.usedefault else SketchParams(a.k, a.s, a.l))
         return None
     spark = spark or SparkSession.builder.appName("kmerframe").getOrCreate()
-    return {"dist": _dist, "set": _set, "composite": _composite, "reverse": _reverse}[a.command](spark, a)
+    return {"dist": _dist, "set": _set, "composite": _composite, "profile": _profile, "reverse": _reverse}[a.command](spark, a)
 
 
 if __name__ == "__main__":

@@ -1,16 +1,40 @@
-"""Shipping of this package to executors."""
+"""Shipping of this package to executors, and tables in the folder they share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Unset, it is a folder of our own, for local masters only."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='kmerframe-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read again: cuts the lineage and survives lost executors."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers whatever their working folder."""
     app = spark.sparkContext.applicationId

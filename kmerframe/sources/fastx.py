@@ -25,10 +25,13 @@ def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_fastq(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, record_no, header, seq, qual): four lines a record, of any length; a last record without a
-    line end counts. Lines are numbered per file: a sort, of a file's lines alone, that spills."""
+    line end counts. Lines are numbered from the counts of the blocks before theirs, so that a file is
+    read by as many tasks as it has blocks."""
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    n = F.row_number().over(Window.partitionBy("path").orderBy("block", "at")) - 1
-    d = lines.withColumn("n", n).withColumn("record_no", F.floor(F.col("n") / 4)).withColumn("part", F.col("n") % 4)
+    blocks = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("size"), F.min("at").alias("first"))
+    w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    before = blocks.select("path", "block", "first", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("before"))
+    d = lines.join(before, ["path", "block"]).withColumn("n", F.col("at") - F.col("first") + F.col("before")).withColumn("record_no", F.floor(F.col("n") / 4)).withColumn("part", F.col("n") % 4)
     at = lambda k: F.max(F.when(F.col("part") == k, F.rtrim("value")))
     g = d.groupBy("path", "record_no").agg(at(0).alias("h"), at(1).alias("seq"), at(3).alias("qual"))
     return g.where(F.col("seq").isNotNull()).select("path", "record_no", F.regexp_replace("h", "^@", "").alias("header"), "seq", "qual")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.compare import heading, lines
 from ..plans.params import SketchParams
 
 
@@ -32,6 +33,13 @@ def write_distances(dist: DataFrame, path: str) -> None:
     dist.write.option("sep", "\t").option("header", True).csv(path)
 
 
+def write_distance_table(found: DataFrame, path: str, kind: str = "jaccard", level: int = 2) -> None:
+    """A folder of text: the heading in its first file, then a line per pair."""
+    head = found.sparkSession.createDataFrame([(heading(kind, level),)], "value string")
+    head.coalesce(1).write.text(path)
+    lines(found, level).select(F.col("line").alias("value")).write.mode("append").text(path)
+
+
 def write_kmers(decoded: DataFrame, names: DataFrame, path: str) -> None:
     """A folder of text for each genome, a k-mer a line; blanks in names become _."""
     named = decoded.join(names, "gid").select(F.regexp_replace("name", " ", "_").alias("genome"), F.col("kmer").alias("value"))

@@ -105,3 +105,33 @@ def test_composite(spark, genomes):
         assert [round(r.score, 9) for r in found] == [want]
     with pytest.raises(ValueError, match="counts"):
         run("composite", "-r", f"{o}/ref", "-q", f"{o}/ref")
+
+
+def test_profile(spark, tmp_path):
+    cov = [("s 1", "p1_a", 30, 8.0, 9.0, 8, 9), ("s 1", "p2_b", 30, 5.0, 6.0, 5, 6), ("s 1", "p3_c", 3, 9.0, 9.0, 9, 9)]
+    store.write_distances(spark.createDataFrame(cov, "sample string, ref string, shared long, avg double, avgpct9899 double, median long, max long"), f"{tmp_path}/cov")
+    (tmp_path / "psid").write_text("p1\t20\np2\t21\np3\t21\n")
+    (tmp_path / "nodes").write_text("10\tsuperkingdom\t1\tB\n15\tclade\t10\tc\n20\tspecies\t15\ts\n21\tspecies\t15\tt\n")
+    for model, want in (("poisson", ["66.6667", "33.3333"]), ("two-tier", ["66.6667", "33.3333"]), ("deviation", ["66.6667", "33.3333"])):
+        commands.main(["profile", "-t", f"{tmp_path}/psid", "-n", f"{tmp_path}/nodes", "-m", model, "-S", "18", "-o", f"{tmp_path}/{model}", f"{tmp_path}/cov"], spark)
+        lines = [r.value for r in spark.read.text(f"{tmp_path}/{model}/s_1.profile").collect()]
+        assert len(lines) == 10 and lines[1] == "@SampleID:s_1" and lines[7].startswith("10\tsuperkingdom\t10\tB\t100.0000")
+        assert [x.split("\t")[4] for x in lines[8:]] == want and lines[8].startswith("20\tspecies\t10|20\tB|s\t")
+
+
+def test_dist_table_and_byread(spark, genomes):
+    o = f"{genomes}/table"
+    run = lambda *x: commands.main([str(v) for v in x], spark)
+    run("shuffle", "--usedefault", "-o", f"{o}.d")
+    assert shuf.read_shuf(f"{o}.d.shuf")[0] == {"shuf_id": 1, "k": 8, "subk": 5, "level": 2}
+    run("dist", "-L", 1, "-o", f"{o}/s", f"{genomes}/a.fa", f"{genomes}/b.fa")
+    run("dist", "-L", 1, "--table", "-r", f"{o}/s", "-o", f"{o}/t", f"{o}/s")
+    lines = [r.value.split("\t") for r in spark.read.text(f"{o}/t/distance").collect()]
+    head = next(x for x in lines if x[0] == "Qry")
+    assert head == ["Qry", "Ref", "Shared_k|Ref_s|Qry_s", "Jaccard", "MashD", "P-value(J)", "FDR(J)", "Jaccard_CI", "MashD_CI"]
+    same = next(x for x in lines if x[:2] == ["a.fa", "a.fa"])
+    assert len(lines) == 5 and same[3:5] == ["1.000000", "0.000000"] and same[5] == "0.000000E+00"
+    run("dist", "-L", 1, "--byread", "-o", f"{o}/r", f"{genomes}/a.fa")
+    run("reverse", "--byread", "-L", 1, "-o", f"{o}/k", f"{o}/r")
+    back = spark.read.option("sep", "\t").option("header", True).csv(f"{o}/k")
+    assert back.count() == spark.read.parquet(f"{o}/r").count() > 0

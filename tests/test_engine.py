@@ -177,3 +177,50 @@ def test_fastx(spark, tmp_path):
 
 def test_queries_have_oracles():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES) and len(catalogue.QUERIES) >= 40
+
+
+def test_nearest_ranks_uncorrected(spark):
+    """The correction changes the similarity, not the order: a pair that it takes to 0 or under stays."""
+    p = spark.createDataFrame([(1, 2, 1, 900, 900), (1, 3, 40, 100, 2000), (1, 4, 0, 10, 10)], "qid long, rid long, shared long, qry_s long, ref_s long")
+    d = compare.distances(p, k=4, level=1, correction=True)
+    assert {r.rid: r.metric < 0 for r in d.where("rid < 4").collect()}[2]
+    assert [r.rid for r in compare.nearest(d, 2).orderBy("rank").collect()] == [3, 2]
+
+
+def test_unranked_nodes_stay_out(spark):
+    nodes = spark.createDataFrame([(10, "superkingdom", 1, "B"), (15, "clade", 10, "c"), (20, "species", 15, "s")], "node long, rank string, parent long, name string")
+    leaves = spark.createDataFrame([("x", 20, 100.0)], "sample string, node long, pct double")
+    assert rows(profile.cami(profile.rollup(leaves, nodes), nodes).select("taxid", "taxpath", "taxpathsn")) == [(10, "10", "B"), (20, "10|20", "B|s")]
+
+
+def test_species(spark):
+    cov = spark.createDataFrame([("a b", "p1_x", 20, 9.0), ("a b", "p2_y", 30, 6.0), ("a b", "p3", 18, 9.0), ("a b", "p4_z", 25, 6.0)], "sample string, ref string, shared long, avgpct9899 double")
+    psids = spark.createDataFrame([("p1", 7), ("p2", 8), ("p3", 9), ("p4", 8)], "psid string, node long")
+    got = rows(profile.species(cov, psids, profile.poisson_depth(F.col("avgpct9899")), 18))
+    assert got == [("a_b", 7, 50.0), ("a_b", 8, 50.0)]
+
+
+def test_distance_lines(spark):
+    p = spark.createDataFrame([("q", "r", 0, 5, 6), ("q", "s", 0, 0, 0)], "qry string, ref string, shared long, qry_s long, ref_s long")
+    got = [r.line for r in compare.lines(compare.distances(p), 0).orderBy("ref").collect()]
+    assert got == ["q\tr\t0-0|6|5\t0.000000\t1.000000", "q\ts\t0-0|0|0\tnan\tnan"]
+
+
+def test_erfc(spark):
+    z = spark.createDataFrame([(x / 7,) for x in range(180)] + [(float("inf"),)], "z double")
+    for r in compare.with_erfc(z, "e", F.col("z")).collect():
+        assert math.isclose(r.e, math.erfc(r.z), rel_tol=1e-11, abs_tol=1e-300)
+
+
+def test_fastq_of_many_blocks(spark, tmp_path):
+    n = 3000
+    (tmp_path / "big.fq").write_text("".join(f"@r{k}\n{'ACGT'[k % 4] * (k % 50 + 1)}\n+\n{'I' * (k % 50 + 1)}\n" for k in range(n)))
+    from kmerframe.sources import fastx
+
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = sorted((r.record_no, r.header, r.seq) for r in fastx.read_fastq(spark, [str(tmp_path / "big.fq")]).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(k, f"r{k}", "ACGT"[k % 4] * (k % 50 + 1)) for k in range(n)]
