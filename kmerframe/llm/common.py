@@ -1,38 +1,16 @@
-"""Scratch tables and connected components."""
+"""Keys of rows, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session import ship  # noqa: F401
+from ..plans.session import ship, written  # noqa: F401
 
 NO_ID = -(2**63)  # stands for a null id in internal keys; it orders first
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Unset, it is a folder of our own, for local masters only."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='kmerframe-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def filtered(docs: DataFrame, keeps) -> DataFrame:
     """The rows of `docs` for which keeps(texts) is true: decided by row, whatever the ids."""
 

@@ -4,15 +4,16 @@ some token runs in place of one of all windows.
 1. Every document becomes runs of windows (textops.anchor_runs). Runs that are equal within an
    Arrow batch become one row with all their places, so a passage that a third of all documents
    hold reaches the shuffle as one row a batch.
-2. Rows meet by anchor, sorted. An anchor with one place is unique; one with several places but
-   one kind of run is settled. Only anchors with unequal runs ("open" ones: edges of repeated
-   passages) need their contents compared.
-3. The open runs' contents are fetched from one document each, meet by anchor and are compared by
-   `classes`, which names equal windows equally. An anchor with more than HOT kinds of run is not
-   brought together: its windows are spread by their own hash and counted with partial aggregation.
+2. Rows meet by anchor, sorted. An anchor with one place is unique. In a run two windows are never
+   equal (they would have their anchor at one offset), so of an anchor with one kind of run the
+   other places repeat the first one whole, and nothing is left to compare.
+3. The contents of all other runs are fetched, each from the first of its places, meet by anchor and
+   are compared by `matches`, which tells for each window the earliest equal one. An anchor with more
+   than HOT kinds of run is not brought together: its windows are spread by their own hash and
+   counted with partial aggregation.
 
 The result has a row for each maximal series of repeated windows of a run: document, first window,
-number of windows, and where the first window of its kind is (least document, then position).
+number of windows, and where the first window of its kind is (least document, tag, then position).
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ HOT = 2048
 FLUSH_BYTES = 1 << 20
 PLACE = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i4")])
 RUNS = "anchor long, run long, windows int, places binary"
-FOUND = "kind byte, anchor long, run long, windows int, n long, doc_id long, tag long, start int, fdoc long, fstart int, hot boolean"
-SEGMENTS = "anchor long, run long, windows int, n long, fdoc long, fstart int, hot boolean, body binary"
-RANGES = "anchor long, run long, off int, len int, fdoc long, fstart int"
+FOUND = "kind byte, anchor long, run long, windows int, n long, doc_id long, tag long, start int, fdoc long, ftag long, fstart int, hot boolean"
+SEGMENTS = "anchor long, run long, windows int, n long, fdoc long, ftag long, fstart int, hot boolean, body binary"
+RANGES = "anchor long, run long, off int, len int, fdoc long, ftag long, fstart int"
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +83,7 @@ def _runs(unit: str, width: int, gram: int):
     return go
 
 
-_FOUND = pa.schema([("kind", pa.int8()), ("anchor", pa.int64()), ("run", pa.int64()), ("windows", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("fdoc", pa.int64()), ("fstart", pa.int32()), ("hot", pa.bool_())])
+_FOUND = pa.schema([("kind", pa.int8()), ("anchor", pa.int64()), ("run", pa.int64()), ("windows", pa.int32()), ("n", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("fdoc", pa.int64()), ("ftag", pa.int64()), ("fstart", pa.int32()), ("hot", pa.bool_())])
 
 
 def _settle(rule: str):
@@ -103,7 +104,7 @@ def _settle(rule: str):
         kind_of = np.repeat(np.cumsum(new) - 1, counts)  # of each place
         kinds = np.flatnonzero(new)
         n = np.add.reduceat(counts, kinds)
-        order = np.lexsort((place["start"], place["doc"], kind_of))
+        order = np.lexsort((place["start"], place["tag"], place["doc"], kind_of))
         first = place[order[np.cumsum(n) - n]]
         k_anchor, k_run, k_windows = anchor[kinds], run[kinds], windows[kinds]
         k_head = np.flatnonzero(np.r_[True, k_anchor[1:] != k_anchor[:-1]])
@@ -112,12 +113,12 @@ def _settle(rule: str):
         k_hot = np.repeat((k_size > HOT) | hot, k_size)
 
         def rows(kind: int, k: np.ndarray, at: np.ndarray):
-            return _batch(_FOUND, np.full(len(k), kind, np.int8), k_anchor[k], k_run[k], k_windows[k].astype(np.int32), n[k], at["doc"].copy(), at["tag"].copy(), at["start"].copy(), first["doc"][k].copy(), first["start"][k].copy(), k_hot[k])
+            return _batch(_FOUND, np.full(len(k), kind, np.int8), k_anchor[k], k_run[k], k_windows[k].astype(np.int32), n[k], at["doc"].copy(), at["tag"].copy(), at["start"].copy(), first["doc"][k].copy(), first["tag"][k].copy(), first["start"][k].copy(), k_hot[k])
 
         whole = ~k_open | ((n > 1) & (rule == "all"))  # in the rule "all" an open run with two places is settled too
         p = whole[kind_of]
         if rule == "first":
-            p = p & ((place["doc"] != first["doc"][kind_of]) | (place["start"] != first["start"][kind_of]))
+            p = p & (place != first[kind_of])
         elif rule == "smaller":
             p = p & (first["doc"][kind_of] < place["doc"])
         yield rows(0, kind_of[p], place[p])
@@ -157,66 +158,60 @@ def _settle(rule: str):
     return go
 
 
-_SEGMENTS = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("windows", pa.int32()), ("n", pa.int64()), ("fdoc", pa.int64()), ("fstart", pa.int32()), ("hot", pa.bool_()), ("body", pa.binary())])
+_SEGMENTS = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("windows", pa.int32()), ("n", pa.int64()), ("fdoc", pa.int64()), ("ftag", pa.int64()), ("fstart", pa.int32()), ("hot", pa.bool_()), ("body", pa.binary())])
+
+
+WANTED = ("anchor", "run", "windows", "n", "fdoc", "ftag", "fstart", "hot")
 
 
 def _fetch(unit: str, width: int):
-    """Contents of the runs asked for: their bytes, or the hashes of their windows of words."""
+    """Contents of the runs asked for: their bytes, or the 64-bit codes of their words."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = tx.column_bytes(b["text"])
             wants = b["wants"]
             cut = wants.offsets.to_numpy()
-            want = {f: wants.values.field(f) for f in ("anchor", "run", "windows", "n", "fdoc", "fstart", "hot")}
+            want = {f: wants.values.field(f) for f in WANTED}
             start, windows = want["fstart"].to_numpy(), want["windows"].to_numpy()
             for i, j in tx.chunks(off):
-                codes, o = tokens(data[off[i] : off[j]], off[i : j + 1] - off[i], unit)
+                part = data[off[i] : off[j]]
+                codes, o = (part, off[i : j + 1] - off[i]) if unit == "byte" else tokens(part, off[i : j + 1] - off[i], unit)
                 rows = np.arange(cut[i], cut[j])
                 at = start[rows] + np.repeat(o[:-1], np.diff(cut[i : j + 1]))
-                if unit == "byte":
-                    part = data[off[i] : off[j]]
-                    bodies = [part[s : s + n + width - 1].tobytes() for s, n in zip(at, windows[rows], strict=True)]
-                else:
-                    every = tx.Rolling(codes).all(width)
-                    bodies = [every[s : s + n].tobytes() for s, n in zip(at, windows[rows], strict=True)]
-                yield _batch(_SEGMENTS, *(want[f].take(pa.array(rows)) for f in ("anchor", "run", "windows", "n", "fdoc", "fstart", "hot")), pa.array(bodies, pa.binary()))
+                bodies = [codes[s : s + n + width - 1].tobytes() for s, n in zip(at, windows[rows], strict=True)]
+                yield _batch(_SEGMENTS, *(want[f].take(pa.array(rows)) for f in WANTED), pa.array(bodies, pa.binary()))
 
     return go
 
 
-_RANGES = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("off", pa.int32()), ("len", pa.int32()), ("fdoc", pa.int64()), ("fstart", pa.int32())])
+_RANGES = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("off", pa.int32()), ("len", pa.int32()), ("fdoc", pa.int64()), ("ftag", pa.int64()), ("fstart", pa.int32())])
 
 
-def _compare(classes: Callable, rule: str):
+def _compare(matches: Callable, rule: str):
     """Sorted segments to ranges of repeated windows; whole anchors are compared together."""
 
     def ranges(t: pa.Table) -> pa.RecordBatch:
-        anchor, run, windows, n, fdoc, fstart = (t[c].to_numpy() for c in ("anchor", "run", "windows", "n", "fdoc", "fstart"))
+        anchor, run = t["anchor"].to_numpy(), t["run"].to_numpy()
+        once = np.r_[True, (anchor[1:] != anchor[:-1]) | (run[1:] != run[:-1])]  # rows equal in id and text ask twice
+        t = t.filter(pa.array(once))
+        anchor, run, windows, n, fdoc, ftag, fstart = (t[c].to_numpy() for c in ("anchor", "run", "windows", "n", "fdoc", "ftag", "fstart"))
         raw, cut = tx.column_bytes(t["body"])
         seg = np.repeat(np.arange(len(windows)), windows)
         off = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
-        name = classes(raw, cut, windows, anchor)
-        rank = np.empty(len(windows), np.int64)
-        rank[np.lexsort((fstart, fdoc))] = np.arange(len(windows))
-        # In order of contents, then of place: of a block of equal windows the first is the earliest.
-        order = np.lexsort((off, rank[seg], name))
-        head = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]])
-        size = np.diff(np.r_[head, len(order)])
-        total = np.add.reduceat(n[seg[order]], head)
-        first, many = np.empty(len(order), np.int64), np.empty(len(order), bool)
-        first[order] = np.repeat(order[head], size)
-        many[order] = np.repeat(total > 1, size)
-        f_doc, f_start = fdoc[seg[first]], fstart[seg[first]] + off[first]
+        position = np.empty(len(seg), np.int64)  # of each window in the corpus, as a rank
+        position[np.lexsort((fstart[seg] + off, ftag[seg], fdoc[seg]))] = np.arange(len(seg))
+        first, many, node = matches(raw, cut, windows, n, position)
+        many = many | (n[seg] > 1)
+        f_doc, f_tag, f_start = fdoc[seg[first]], ftag[seg[first]], fstart[seg[first]] + off[first]
         if rule == "all":
-            f_doc, f_start = np.zeros(len(seg), np.int64), off  # which copy is first doesn't matter
-        # Non-branching paths: windows that follow each other here and where they came from.
-        new = np.r_[True, (seg[1:] != seg[:-1]) | (f_doc[1:] != f_doc[:-1]) | (f_start[1:] != f_start[:-1] + 1) | (many[1:] != many[:-1])]
+            f_doc, f_tag, f_start = np.zeros(len(seg), np.int64), np.zeros(len(seg), np.int64), off  # which copy is first doesn't matter
+        new = np.r_[True, (seg[1:] != seg[:-1]) | (f_doc[1:] != f_doc[:-1]) | (f_tag[1:] != f_tag[:-1]) | (f_start[1:] != f_start[:-1] + 1) | (many[1:] != many[:-1]) | node[1:]]
         at = np.flatnonzero(new)
         length = np.diff(np.r_[at, len(seg)])
         at, length = at[many[at]], length[many[at]]
         s = seg[at]
-        return _batch(_RANGES, anchor[s], run[s], off[at].astype(np.int32), length.astype(np.int32), f_doc[at], f_start[at].astype(np.int32))
+        return _batch(_RANGES, anchor[s], run[s], off[at].astype(np.int32), length.astype(np.int32), f_doc[at], f_tag[at], f_start[at].astype(np.int32))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -246,8 +241,11 @@ def _compare(classes: Callable, rule: str):
     return go
 
 
+SPREAD = "anchor long, run long, off int, win long, n long, fdoc long, ftag long, fstart int"
+
+
 def _spread(unit: str, width: int):
-    schema = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("off", pa.int32()), ("win", pa.int64()), ("n", pa.int64()), ("fdoc", pa.int64()), ("fstart", pa.int32())])
+    schema = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("off", pa.int32()), ("win", pa.int64()), ("n", pa.int64()), ("fdoc", pa.int64()), ("ftag", pa.int64()), ("fstart", pa.int32())])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,48 +253,55 @@ def _spread(unit: str, width: int):
             windows = b["windows"].to_numpy()
             seg = np.repeat(np.arange(len(windows)), windows)
             off = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
-            win = tx.Rolling(tx.byte_codes(raw)).all(width)[cut[:-1][seg] + off] if unit == "byte" else raw.view(np.uint64)
-            anchor, run, n, fdoc, fstart = (b[c].to_numpy()[seg] for c in ("anchor", "run", "n", "fdoc", "fstart"))
-            yield _batch(schema, anchor, run, off.astype(np.int32), win.view(np.int64), n, fdoc, (fstart + off).astype(np.int32))
+            codes, cut = (tx.byte_codes(raw), cut) if unit == "byte" else (raw.view(np.uint64), cut // 8)
+            win = tx.Rolling(codes).all(width)[cut[:-1][seg] + off]
+            anchor, run, n, fdoc, ftag, fstart = (b[c].to_numpy()[seg] for c in ("anchor", "run", "n", "fdoc", "ftag", "fstart"))
+            yield _batch(schema, anchor, run, off.astype(np.int32), win.view(np.int64), n, fdoc, ftag, (fstart + off).astype(np.int32))
 
     return go
 
 
-def repeated(docs: DataFrame, *, unit: str, width: int, gram: int, classes: Callable, rule: str) -> DataFrame:
-    """(doc_id, tag, start, len): series of windows of `keyed(docs)` that the rule removes.
+def repeated(docs: DataFrame, *, unit: str, width: int, gram: int, matches: Callable, rule: str) -> DataFrame:
+    """(doc_id, tag, start, len, fdoc, ftag, fstart): series of windows of `keyed(docs)` that the rule removes,
+    and where (but under "all") an earlier copy of each starts.
 
     rule: "all" takes every window whose contents also start elsewhere; "first" all but the first
     by document and position; "smaller" those that also start in a document with a smaller id.
+    matches(raw, cut, windows, n, position) gets runs' contents end to end and tells of each window
+    the earliest equal one, whether there is another, and whether a path ends before it.
     """
     spark = docs.sparkSession
     ship(spark)
     d = keyed(docs)
     runs = d.mapInArrow(_runs(unit, width, gram), RUNS)
     found = written(runs.repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(_settle(rule), FOUND), "runs")
-    settled = found.where("kind = 0").select("doc_id", "tag", "start", F.col("windows").alias("len"))
-    wants = found.where("kind = 2").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "run", "windows", "n", "fdoc", "fstart", "hot")).alias("wants"))
-    segments = d.join(wants, ["doc_id", "tag"]).select("text", "wants").mapInArrow(_fetch(unit, width), SEGMENTS)
-    segments = written(segments.dropDuplicates(["anchor", "run", "n", "fdoc", "fstart"]), "segments")
-    cold = segments.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(_compare(classes, rule), RANGES)
-    open_ranges = cold
-    if segments.where("hot").limit(1).count():
-        spread = segments.where("hot").mapInArrow(_spread(unit, width), "anchor long, run long, off int, win long, n long, fdoc long, fstart int")
-        least = spread.groupBy("anchor", "win").agg(F.sum("n").alias("n"), F.min(F.struct("fdoc", "fstart")).alias("f")).where("n > 1").select("anchor", "win", "f.*")
-        hot = spread.select("anchor", "run", "off", "win").distinct().join(least, ["anchor", "win"])
-        open_ranges = cold.unionByName(hot.select("anchor", "run", "off", F.lit(1).alias("len"), "fdoc", "fstart"))
+    spans = ("doc_id", "tag", "start", "len", "fdoc", "ftag", "fstart")
+    settled = found.where("kind = 0").withColumnRenamed("windows", "len").select(*spans)
+    # A hot anchor is let through in parts, so that one kind of run may come in several rows.
+    first = F.min(F.struct("fdoc", "ftag", "fstart"))
+    kinds = found.where("kind = 2").groupBy("anchor", "run").agg(F.min("windows").alias("windows"), F.sum("n").alias("n"), first.alias("f"), F.max("hot").alias("hot")).select("anchor", "run", "windows", "n", "f.*", "hot")
+    wants = kinds.groupBy(F.col("fdoc").alias("doc_id"), F.col("ftag").alias("tag")).agg(F.collect_list(F.struct(*WANTED)).alias("wants"))
+    segments = written(d.join(wants, ["doc_id", "tag"]).select("text", "wants").mapInArrow(_fetch(unit, width), SEGMENTS), "segments")
+    open_ranges = segments.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(_compare(matches, rule), RANGES)
+    hot = segments.where("hot").dropDuplicates(["anchor", "run"])
+    if hot.limit(1).count():
+        spread = hot.mapInArrow(_spread(unit, width), SPREAD)
+        least = spread.groupBy("anchor", "win").agg(F.sum("n").alias("n"), first.alias("f")).where("n > 1").select("anchor", "win", "f.*")
+        met = spread.select("anchor", "run", "off", "win").join(least, ["anchor", "win"])
+        open_ranges = open_ranges.unionByName(met.select("anchor", "run", "off", F.lit(1).alias("len"), "fdoc", "ftag", "fstart"))
     waiting = found.where("kind = 1").select("anchor", "run", "doc_id", "tag", "start")
     met = waiting.join(open_ranges, ["anchor", "run"]).withColumn("start", F.col("start") + F.col("off"))
     if rule == "first":
-        met = met.where("fdoc <> doc_id or fstart <> start")
+        met = met.where("fdoc <> doc_id or ftag <> tag or fstart <> start")
     elif rule == "smaller":
         met = met.where("fdoc < doc_id")
-    return settled.union(met.select("doc_id", "tag", "start", "len"))
+    return settled.union(met.select(*spans))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """keyed(docs) with `spans`: array of (start, len), null where there is none. An array holds no
     more than a document's own runs and windows."""
-    by = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "len")).alias("spans"))
+    by = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(*(c for c in spans.columns if c not in ("doc_id", "tag")))).alias("spans"))
     return keyed(docs).join(by, ["doc_id", "tag"], "left")
 
 

@@ -151,6 +151,8 @@ def window_docs(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
 def anchor_runs(codes: np.ndarray, offsets: np.ndarray, width: int, gram: int):
     """Runs of windows: document, first window (token position in the series), windows, hash of the
     anchor, hash of the run's tokens together with the anchor's offset."""
+    if len(codes) > int(POS_MASK):
+        raise ValueError("a text has fewer tokens than 2^28")
     at, doc = window_docs(offsets, width)
     if not len(at):
         z = np.zeros(0, np.int64)
