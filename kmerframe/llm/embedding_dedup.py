@@ -35,6 +35,8 @@ THRESHOLD = 0.98
 SAMPLE = 16384
 BLOCK = 1024
 CODES = 64
+LIST = 2048  # vectors of one label that a list is meant for
+LEAST_LISTS, MOST_LISTS = 4, 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 1) -> np.ndarray:
@@ -56,6 +58,8 @@ class Quantiser:
         self.dim = x.shape[1]
         self.parts = next(p for p in (8, 4, 2, 1) if self.dim % p == 0)
         self.coarse = kmeans(x, lists)
+        norm = (self.coarse**2).sum(1)
+        self.gap = np.sqrt(np.maximum(norm[:, None] + norm[None] - 2 * self.coarse @ self.coarse.T, 0))  # between centroids
         r = x - self.coarse[self.nearest(x)[0]]
         w = self.dim // self.parts
         self.books = [kmeans(r[:, m * w : (m + 1) * w], CODES, seed=m) for m in range(self.parts)]
@@ -67,8 +71,7 @@ class Quantiser:
     def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         """Own list, and a mask of the higher-numbered lists that hold vectors within the radius."""
         own, d = self.nearest(x)
-        gap = np.sqrt(np.maximum(((self.coarse[:, None] - self.coarse[None]) ** 2).sum(-1), 0))
-        beyond = (d - d[np.arange(len(x)), own][:, None]) <= 2 * gap[own] * (radius + 1e-6) + 1e-9
+        beyond = (d - d[np.arange(len(x)), own][:, None]) <= 2 * self.gap[own] * (radius + 1e-6) + 1e-9
         return own, beyond & (np.arange(len(self.coarse))[None] > own[:, None])
 
     def encode(self, x: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,10 +110,11 @@ def _deal(quantisers: dict[int, Quantiser], radius: float):
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                 q = quantisers.get(dim)
                 if q is None:  # no such vector in the sample: one list
-                    own, far = np.zeros(len(rows), np.int64), np.zeros((len(rows), 1), bool)
+                    own, i, to = np.zeros(len(rows), np.int64), *(np.zeros(0, np.int64),) * 2
                 else:
-                    own, far = q.probes(unit, radius)
-                i, to = np.nonzero(far)
+                    parts = [q.probes(unit[k : k + 1024], radius) for k in range(0, len(unit), 1024)]
+                    own = np.concatenate([p[0] for p in parts])
+                    i, to = np.nonzero(np.concatenate([p[1] for p in parts]))
                 row, at, home = np.r_[np.arange(len(rows)), i], np.r_[own, to], np.r_[np.ones(len(rows), bool), np.zeros(len(i), bool)]
                 for k in range(0, len(row), 65536):
                     s = row[k : k + 65536]
@@ -159,17 +163,19 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ship(spark)
     v = columns_of(vectors, vec_id="long", label="string", embedding="array<double>").withColumn("vec_id", F.coalesce("vec_id", F.lit(NO_ID)))
     fine = F.expr("label is not null and embedding is not null and size(embedding) > 0 and forall(embedding, e -> e is not null and not isnan(e) and abs(e) < double('infinity')) and exists(embedding, e -> e <> 0)")
-    print_ = F.when(fine, F.sha2(F.concat_ws(",", F.col("label"), F.transform("embedding", lambda e: F.hex((e + F.lit(0.0)).cast("string"))).cast("array<string>")), 256))
+    print_ = F.when(fine, F.struct(F.xxhash64("label", "embedding").alias("a"), F.xxhash64(F.lit(1), "label", "embedding").alias("b")))  # 128 bits
     v = v.withColumn("print", print_)
     classes = written(v.where("print is not null").groupBy("print").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("label").alias("label"), F.min("embedding").alias("embedding")), "vectors")
-    sample = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
-    n = classes.count()
-    lists = int(min(1024, max(16, 2 ** round(np.log2(max(n, 1) ** 0.5 / 4)))))
-    rows = [np.asarray(r, float) for r in sample["embedding"].to_pylist()]
+    last = classes.select(F.xxhash64("node").alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    sample = classes.where(F.xxhash64("node") <= F.lit(last if last is not None else 0)).dropDuplicates(["node"]).orderBy(F.xxhash64("node"), "node").select("embedding").toArrow()
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    lists = int(np.clip(2 ** np.ceil(np.log2(most / LIST)), LEAST_LISTS, MOST_LISTS))
+    column = sample["embedding"].combine_chunks()
+    length, flat = np.diff(column.offsets.to_numpy()), column.values.to_numpy()
     quantisers = {}
-    for dim in {len(r) for r in rows}:
-        x = np.array([r / np.linalg.norm(r) for r in rows if len(r) == dim])
-        quantisers[dim] = Quantiser(x, lists)
+    for dim in np.unique(length).tolist():
+        x = flat[column.offsets.to_numpy()[:-1][length == dim][:, None] + np.arange(dim)[None]]
+        quantisers[dim] = Quantiser(x / np.linalg.norm(x, axis=1, keepdims=True), lists)
     dealt = classes.select("label", "node", "copies", "embedding").mapInArrow(_deal(quantisers, float(np.sqrt(2 - 2 * threshold))), "label string, dim int, list int, home boolean, node long, copies long, vector binary")
     dealt = written(dealt, "dealt")
     by = ["label", "dim", "list"]

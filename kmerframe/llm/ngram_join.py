@@ -1,11 +1,13 @@
 """N-gram Jaccard join: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
 Method. Bayesian candidate pruning. Texts with equal shingle sets become one class. MinHash bands
-propose candidates; candidates that hang together form a group, whose members meet once (in pairs
-of blocks of bounded size where the group is large). There every pair's MinHash values are compared
-a few at a time: with m of n equal, the similarity has the posterior Beta(m + 1, n - m + 1), and a
-pair is dropped as soon as the chance that it reaches the threshold is under `tolerance`. All others
-are verified exactly on their shingle sets.
+propose candidates, and every pair's MinHash values are compared a few at a time: with m of n equal,
+the similarity has the posterior Beta(m + 1, n - m + 1), and a pair is dropped as soon as the chance that
+it reaches the threshold is under `tolerance`. This is done first within the bands' buckets, on signatures
+alone; what pairs are left there link into groups. (A bucket of more than BLOCK texts isn't compared
+within itself: its texts are put into one group.) The members of a group then meet once, with
+their shingle sets (in pairs of blocks of bounded size where the group is large); pairs that pass the same
+pruning are verified exactly.
 
 Words are [^\\x20\\x09-\\x0D]+, unchanged. A text of one to four words has all its words as its one
 shingle; a text without words has none and links with nothing.
@@ -13,8 +15,10 @@ shingle; a text without words has none and links with nothing.
 Figures: a pair at the threshold meets in no band with a chance of (1 - 0.8^4)^24 = 3e-6, and is
 dropped wrongly with a chance of `tolerance` (1e-6) a step at most.
 
-Edge cases: null text counts as empty; rows that share a doc_id count as one document; a null
-doc_id is kept and orders first; an empty table gives an empty result; other columns are passed by.
+Edge cases: null text counts as empty; rows that share a doc_id count as one document (in the stage each
+is its own); a null doc_id is kept and orders first; the least id of a group is its class, whatever the order of
+rows; a very long text is read whole, and one of 2^28 words or more raises; an empty table gives an empty result;
+other columns are passed by.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import NO_ID, components, keyed, ship, written
+from .common import NO_ID, components, keyed, own_names, restored, ship, written
 from .repeats import binary
 
 SIZE = 5
@@ -39,7 +43,8 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 TOLERANCE = 1e-6
 STEP = 16
-BLOCK = 256
+BLOCK = 256  # texts of a bucket that are compared there
+MEMBERS, MEMBER_BYTES = 1024, 8 << 20  # of a block of a group, about
 _MINERS = np.random.default_rng(7).integers(0, 2**32, (2, HASHES), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
@@ -76,7 +81,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("print", pa.binary()), ("sig", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("print", pa.binary()), ("size", pa.int64()), ("sig", pa.binary())])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +91,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values, bounds = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i])
             sig = signatures(values, bounds)
             prints = [xxhash.xxh3_128_digest(values[s:e].tobytes()) if e > s else None for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), b["tag"].slice(i, j - i), pa.array(prints, pa.binary()), binary(sig.view(np.uint8).reshape(-1), np.arange(j - i + 1) * HASHES * 4)], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), b["tag"].slice(i, j - i), pa.array(prints, pa.binary()), pa.array(np.diff(bounds)), binary(sig.view(np.uint8).reshape(-1), np.arange(j - i + 1) * HASHES * 4)], schema=_SIGNED)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +128,10 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
 def candidates(a: np.ndarray, b: np.ndarray, same: bool, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that Bayesian pruning leaves of all pairs of two blocks of signatures."""
     i, j = np.triu_indices(len(a), 1) if same else (x.reshape(-1) for x in np.indices((len(a), len(b))))
+    return _passing(a, b, i, j, threshold, tolerance)
+
+
+def _passing(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     equal = np.zeros(len(i), np.int32)
     for n in range(STEP, a.shape[1] + 1, STEP):
         for c in range(n - STEP, n):
@@ -132,6 +141,57 @@ def candidates(a: np.ndarray, b: np.ndarray, same: bool, threshold: float = THRE
     return i, j
 
 
+def joined(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The least index that edges lead to, of each of n."""
+    name = np.arange(n)
+    while len(i):
+        low = np.minimum(name[i], name[j])
+        np.minimum.at(name, i, low)
+        np.minimum.at(name, j, low)
+        name = name[name]
+        live = name[i] != name[j]
+        i, j = i[live], j[live]
+    while not np.array_equal(name, name[name]):
+        name = name[name]
+    return name
+
+
+def _prune(threshold: float, tolerance: float = TOLERANCE):
+    """Sorted rows of buckets to links (a, b) that join all texts of a bucket that pairs join which pass the pruning."""
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        band, node = t["band"].to_numpy(), t["node"].to_numpy()
+        sig = tx.column_bytes(t["sig"])[0].view(np.uint32).reshape(-1, HASHES)
+        i, j, k = [], [], 1
+        ahead = np.arange(len(band))
+        while len(ahead):  # partners k places ahead
+            ahead = ahead[: np.searchsorted(ahead, len(band) - k)]
+            ahead = ahead[band[ahead] == band[ahead + k]]
+            left, right = _passing(sig, sig, ahead, ahead + k, threshold, tolerance)
+            i.append(left)
+            j.append(right)
+            k += 1
+        name = joined(np.concatenate(i or [ahead]), np.concatenate(j or [ahead]), len(band))
+        on = np.flatnonzero(name != np.arange(len(band)))
+        return pa.RecordBatch.from_arrays([pa.array(node[name[on]]), pa.array(node[on])], ["a", "b"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            band = b["band"].to_numpy()
+            cut = int(np.searchsorted(band, band[-1]))  # the last bucket may go on; none has more than BLOCK rows
+            if cut or (kept and kept[-1]["band"][-1].as_py() != band[0]):
+                yield links(pa.Table.from_batches([*kept, b.slice(0, cut)]))
+                kept = []
+            kept.append(b.slice(cut))
+        if kept:
+            yield links(pa.Table.from_batches(kept))
+
+    return go
+
+
 def shared(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of the intersections left[i] & right[j]."""
     if len(i) < 64:
@@ -221,17 +281,21 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, repeats: bool = True) ->
     spark = docs.sparkSession
     ship(spark)
     d = keyed(docs)
-    signed = written(d.mapInArrow(_sign, "doc_id long, tag long, print binary, sig binary"), "signed")
+    signed = written(d.mapInArrow(_sign, "doc_id long, tag long, print binary, size long, sig binary"), "signed")
     classes = written(
-        signed.where("print is not null").groupBy("print").agg(F.min(F.struct("doc_id", "tag")).alias("f"), F.count(F.lit(1)).alias("copies"), F.min("sig").alias("sig")).select("print", F.xxhash64("print").alias("node"), "f.doc_id", "f.tag", "copies", "sig"),
+        signed.where("print is not null").groupBy("print").agg(F.min(F.struct("doc_id", "tag")).alias("f"), F.count(F.lit(1)).alias("copies"), F.min("size").alias("size"), F.min("sig").alias("sig")).select("print", F.xxhash64("print").alias("node"), "f.doc_id", "f.tag", "copies", "size", "sig"),
         "classes",
     )
     bands = classes.select("node", "sig").mapInArrow(_bands, "node long, band long")
-    buckets = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("band", "a")
-    groups = components(bands.join(buckets, "band").select("a", F.col("node").alias("b")))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    grouped = groups.join(sizes, "component").select("node", F.col("component").alias("group"), "blocks")
-    members = classes.join(grouped, "node").withColumn("block", F.expr("pmod(xxhash64(node, tag), blocks)").cast("int"))
+    buckets = bands.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = written(bands.join(buckets, "band"), "bands")
+    small = met.where(F.col("size") <= BLOCK).select("node", "band").join(classes.select("node", "sig"), "node")
+    pruned = small.repartition("band").sortWithinPartitions("band").mapInArrow(_prune(threshold), "a long, b long")
+    groups = components(pruned.union(met.where(F.col("size") > BLOCK).select("a", F.col("node").alias("b"))))
+    grouped = written(groups.withColumnRenamed("component", "group"), "groups")
+    held = classes.join(grouped, "node")
+    sizes = held.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum("size") * 8 / MEMBER_BYTES)).cast("int").alias("blocks"))
+    members = held.join(sizes, "group").withColumn("block", F.expr("pmod(xxhash64(node, tag), blocks)").cast("int"))
     members = members.join(d, ["doc_id", "tag"]).dropDuplicates(["node"])
     sets = members.select("node", "copies", "sig", "group", "blocks", "block", "text").mapInArrow(_sets, "node long, copies long, sig binary, group long, blocks int, block int, shingles binary")
     links = written(block_pairs(sets).groupBy("group", "p", "q").applyInArrow(_compare(threshold), LINKS), "links")
@@ -258,8 +322,8 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near copies exactly one row stays, one with the least id (null
     orders first); rows that share an id are judged by themselves."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    got = join(rows.select(F.col("__row").alias("doc_id"), "text"), repeats=False).select(F.col("doc_id").alias("__row"), "class_id")
-    named = got.join(rows.select("__row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")), "__row")
-    keep = named.groupBy("class_id").agg(F.min(F.struct("id", "__row")).alias("f")).select("f.__row")
-    return rows.join(keep, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = written(own_names(docs).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    text = F.col(f"__{docs.columns.index('text')}")
+    got = join(rows.select(F.col("__row").alias("doc_id"), text.alias("text")), repeats=False).select(F.col("doc_id").alias("__row"), "class_id")
+    keep = got.join(rows.select("__row", "__id"), "__row").groupBy("class_id").agg(F.min(F.struct("__id", "__row")).alias("f")).select("f.__row")
+    return restored(rows.join(keep, "__row", "left_semi"), docs)
