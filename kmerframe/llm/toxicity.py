@@ -31,15 +31,16 @@ from . import textops as tx
 from .common import columns_of, filtered, ship
 from .decontaminate import plain
 
-SAMPLE = 2048  # labelled rows of each label
+SAMPLE = 1024  # labelled rows of each label
 PREFIX = (4, 6, 8)
 K = 128
 PRIOR = 0.5  # votes of the closest example that each label has to begin with
 BLOCK = 64
 OFTEN = 1 / 16  # share of the examples from which a term is held by blocks
 TOGETHER = 128  # texts whose nearest examples are sought together
+SLICE = 1024  # texts that are read together
 COUNTED = 1 << 14  # terms whose counts are summed in one row
-LOOK = 22  # bits of a hash by which a term is looked up
+LOOK = 20  # bits of a hash by which a term is looked up
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>"
 
 
@@ -79,7 +80,7 @@ class Names:
     def __init__(self, names: np.ndarray):
         self.names = names
         top = (names >> np.uint64(64 - LOOK)).astype(np.int64)
-        self.first = np.searchsorted(top, np.arange(1 << LOOK)).astype(np.int32)
+        self.first = np.r_[0, np.cumsum(np.bincount(top, minlength=1 << LOOK), dtype=np.int32)[:-1]].astype(np.int32)
         self.most = int(np.bincount(top).max()) if len(names) else 0
 
     def places(self, h: np.ndarray) -> np.ndarray:
@@ -118,8 +119,9 @@ def _frequencies(names: np.ndarray):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = Names(names), np.zeros(len(names), np.int64)
         for b in batches:
-            for _, _, _, term, _ in counted(table, *plain(b["text"])):
-                total += np.bincount(term, minlength=len(names))
+            for k in range(0, b.num_rows, SLICE):
+                for _, _, _, term, _ in counted(table, *plain(b["text"].slice(k, SLICE))):
+                    total += np.bincount(term, minlength=len(names))
         for part, s in enumerate(range(0, len(names), COUNTED)):
             at = np.flatnonzero(total[s : s + COUNTED])
             if len(at):
@@ -151,8 +153,8 @@ class Index:
         data, off = plain(texts)
         self.terms = vocabulary(data, off) if names is None else names
         self.names = Names(self.terms)
-        parts = [(doc + i, term, n) for i, _, doc, term, n in counted(self.names, data, off)]
-        doc, term, n = (np.concatenate([p[c] for p in parts] or [np.zeros(0, np.int64)]) for c in range(3))
+        parts = [tuple(x.astype(np.int32) for x in (doc + i, term, n)) for i, _, doc, term, n in counted(self.names, data, off)]
+        doc, term, n = (np.concatenate([p[c] for p in parts] or [np.zeros(0, np.int32)]) for c in range(3))
         del parts
         if found is None:
             found, total = np.bincount(term, minlength=len(self.terms)), len(y)
@@ -294,9 +296,11 @@ class Index:
 
     def judge(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
         """Scores and nearest examples of texts."""
-        got, every = [], self.vectors(*plain(texts))
-        while some := list(islice(every, TOGETHER)):
-            got += self.scores(some)
+        got = []
+        for k in range(0, len(texts), SLICE):
+            every = self.vectors(*plain(texts.slice(k, SLICE)))
+            while some := list(islice(every, TOGETHER)):
+                got += self.scores(some)
         return np.array([g[0] for g in got], float), [g[1] for g in got]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,8 +322,10 @@ def fitted(docs: DataFrame, labels: DataFrame, examples: DataFrame | None = None
     few = tm.sample(y, ("doc_id",), "toxic", lambda n, total: limit, 8)
     rows = tm.held(source.join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text"), 2 * limit, 8)  # `few`: 2 * limit ids
     texts = rows["text"].combine_chunks()
+    ids, y = rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(np.int64)
+    del rows
     names = vocabulary(*plain(texts))
-    return Index(rows["doc_id"].to_numpy(), texts, rows["toxic"].to_numpy().astype(np.int64), n1 / (n1 + n0), names, frequencies(d, names), d.count())
+    return Index(ids, texts, y, n1 / (n1 + n0), names, frequencies(d, names), d.count())
 
 
 def scored(docs: DataFrame, labels: DataFrame, examples: DataFrame | None = None, folds: int = 5, limit: int = SAMPLE) -> DataFrame:
