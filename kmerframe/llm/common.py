@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..plans.session import ship, written  # noqa: F401
 
+SMALL = 200_000  # rows of a few numbers that are broadcast at most; more are joined by a shuffle
 NO_ID = -(2**63)  # stands for a null id in internal keys; it orders first
 
 
@@ -60,21 +61,22 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Alternating large-star and small-star steps: each round is two shuffles of at most as many
     rows as there are edges, and the number of rounds grows with the logarithm of the longest
-    path. A hot node's neighbours are never gathered: a step needs only a node's least neighbour,
-    which pre-aggregates. Each round is written to the shared folder.
+    path. A hot node's neighbours are never gathered: a step needs only a node's least neighbour, which
+    pre-aggregates; it is written, so that the join with it is one of two plain shuffles, of which Spark
+    splits what is skewed. Each round is written to the shared folder.
     """
     e = written(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
 
     def star(both: DataFrame, keep) -> DataFrame:
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         return both.join(least, "u").where(keep).select("v", "m", "u")
 
     last = None
     for _ in range(rounds):
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        large = star(both, F.col("v") > F.col("u")).where("v <> m").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        large = written(star(both, F.col("v") > F.col("u")).where("v <> m").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct(), "large")
         down = large.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         j = down.join(least, "u")
         small = j.where("v <> m").select(F.col("m").alias("lo"), F.col("v").alias("hi")).union(least.select(F.col("m").alias("lo"), F.col("u").alias("hi"))).distinct()
         e = written(small, "edges")

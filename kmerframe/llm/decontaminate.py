@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import NO_ID, columns_of, keyed, ship, without, written
+from .common import NO_ID, SMALL, columns_of, keyed, ship, without, written
 
 MASKS = ("11000101111", "1101011011", "11101010101", "11011111", "111100111")  # of SPAN words with any two replaced, one mask meets none of the two
 SPAN = 12
@@ -43,7 +43,6 @@ SLACK = 2
 SHORTEST = 5
 BLOCK_CHARS = 16_000_000
 LEAST_BITS, MOST_BITS = 20, 26
-SMALL = 200_000  # rows of a few numbers that are broadcast at most
 
 WORD = np.zeros(256, bool)
 WORD[0x80:] = True

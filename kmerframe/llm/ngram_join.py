@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import NO_ID, components, keyed, own_names, restored, ship, written
+from .common import NO_ID, SMALL, components, keyed, own_names, restored, ship, written
 from .repeats import binary
 
 SIZE = 5
@@ -296,7 +296,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, repeats: bool = True) ->
     held = classes.join(grouped, "node")
     sizes = held.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum("size") * 8 / MEMBER_BYTES)).cast("int").alias("blocks"))
     members = held.join(sizes, "group").withColumn("block", F.expr("pmod(xxhash64(node, tag), blocks)").cast("int"))
-    members = members.join(d, ["doc_id", "tag"]).dropDuplicates(["node"])
+    keys = held.select("doc_id", "tag")
+    texts = d.join(F.broadcast(keys) if grouped.count() <= SMALL else keys, ["doc_id", "tag"], "left_semi")
+    members = members.join(texts, ["doc_id", "tag"]).dropDuplicates(["node"])
     sets = members.select("node", "copies", "sig", "group", "blocks", "block", "text").mapInArrow(_sets, "node long, copies long, sig binary, group long, blocks int, block int, shingles binary")
     links = written(block_pairs(sets).groupBy("group", "p", "q").applyInArrow(_compare(threshold), LINKS), "links")
     edges = links.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b"))
@@ -325,5 +327,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = written(own_names(docs).withColumn("__row", F.monotonically_increasing_id()), "rows")
     text = F.col(f"__{docs.columns.index('text')}")
     got = join(rows.select(F.col("__row").alias("doc_id"), text.alias("text")), repeats=False).select(F.col("doc_id").alias("__row"), "class_id")
-    keep = got.join(rows.select("__row", "__id"), "__row").groupBy("class_id").agg(F.min(F.struct("__id", "__row")).alias("f")).select("f.__row")
-    return restored(rows.join(keep, "__row", "left_semi"), docs)
+    named = got.join(rows.select("__row", "__id"), "__row")
+    first = named.groupBy("class_id").agg(F.min(F.struct("__id", "__row")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class_id", F.col("f.__row").alias("first"))
+    later = written(named.join(first, "class_id").where("__row <> first").select("__row"), "later")
+    return restored(rows.join(F.broadcast(later) if later.count() <= SMALL else later, "__row", "left_anti"), docs)
