@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import ship, written  # noqa: F401
+from . import textops as tx
 
 SMALL = 200_000  # rows of a few numbers that are broadcast at most; more are joined by a shuffle
 NO_ID = -(2**63)  # stands for a null id in internal keys; it orders first
@@ -15,6 +16,7 @@ NO_ID = -(2**63)  # stands for a null id in internal keys; it orders first
 def filtered(docs: DataFrame, keeps) -> DataFrame:
     """The rows of `docs` for which keeps(texts) is true: decided by row, whatever the ids."""
 
+    @tx.sliced
     def go(batches):
         for b in batches:
             yield b.filter(pa.array(keeps(b["text"].cast(pa.string())), pa.bool_()))

@@ -128,6 +128,7 @@ def _trimmed(b: pa.RecordBatch, width: int, hashed: bool, back: bool = False):
 
 
 def _cut(width: int, hashed: bool):
+    @tx.sliced
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = list(_trimmed(b, width, hashed))
@@ -139,6 +140,7 @@ def _cut(width: int, hashed: bool):
 def _cut_and_ask(width: int, hashed: bool, back: bool = False):
     """As _cut, with the long spans to be verified."""
 
+    @tx.sliced
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = list(_trimmed(b, width, hashed, back))
@@ -151,6 +153,7 @@ def _cut_and_ask(width: int, hashed: bool, back: bool = False):
 def _source(width: int):
     """Which of the digests asked for differ from the words at the source's coordinates."""
 
+    @tx.sliced
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):

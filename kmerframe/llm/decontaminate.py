@@ -179,6 +179,7 @@ def _found(test: TestSet, texts: pa.Array) -> tuple[list[list], np.ndarray]:
 def _sow(width: int, slack: int):
     """The distinct seed hashes of each item, with the number of the mask."""
 
+    @tx.sliced
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = plain(b["text"])
@@ -232,6 +233,7 @@ class Filter:
 def _probe(masks: list[str], known: Filter):
     """The distinct hashes of each document that may be those of an item."""
 
+    @tx.sliced
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = plain(b["text"])
@@ -254,6 +256,7 @@ def _probe(masks: list[str], known: Filter):
 def _verify(width: int, slack: int):
     """Of the items that a document met, those that it holds a passage of."""
 
+    @tx.sliced
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             met = b["met"]

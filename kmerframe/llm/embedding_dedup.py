@@ -99,6 +99,7 @@ class Quantiser:
 def _deal(quantisers: dict[int, Quantiser], radius: float):
     """A row for a vector's own list (home) and for each list that it searches."""
 
+    @tx.lean
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length = np.diff(b["embedding"].offsets.to_numpy())

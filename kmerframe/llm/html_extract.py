@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import textops as tx
 from .common import columns_of, ship
 
 PAGES = 800  # made pages that the trees are fitted on
@@ -383,6 +384,7 @@ def extract_text(pages: list[str], m: Boosted) -> list[str]:
 
 
 def _extract(m: Boosted):
+    @tx.sliced
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 128):

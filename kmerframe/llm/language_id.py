@@ -95,6 +95,7 @@ class Model:
         m = tm.means(data, off, self.table)
         return (m if self.out is None else m @ self.out) + self.bias
 
+    @tx.sliced
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = tx.column_bytes(pc.utf8_lower(b["text"]))

@@ -40,6 +40,7 @@ FAR = 40.0  # exp(FAR) times any base rate is over any cap
 SCHEMA = "doc_id long, tag long, row long, source string, size long, rate double, m long, part int, took long"
 
 
+@tx.sliced
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = tx.column_bytes(b["text"])

@@ -84,6 +84,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("print", pa.binary()), ("size", pa.int64()), ("sig", pa.binary())])
 
 
+@tx.sliced
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = tx.column_bytes(b["text"])
@@ -94,6 +95,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), b["tag"].slice(i, j - i), pa.array(prints, pa.binary()), pa.array(np.diff(bounds)), binary(sig.view(np.uint8).reshape(-1), np.arange(j - i + 1) * HASHES * 4)], schema=_SIGNED)
 
 
+@tx.lean
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         raw, _ = tx.column_bytes(b["sig"])
@@ -104,6 +106,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b["node"].to_numpy(), BANDS)), pa.array(h.reshape(-1).view(np.int64))], ["node", "band"])
 
 
+@tx.sliced
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = tx.column_bytes(b["text"])
@@ -175,6 +178,7 @@ def _prune(threshold: float, tolerance: float = TOLERANCE):
         on = np.flatnonzero(name != np.arange(len(band)))
         return pa.RecordBatch.from_arrays([pa.array(node[name[on]]), pa.array(node[on])], ["a", "b"])
 
+    @tx.lean
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         for b in batches:

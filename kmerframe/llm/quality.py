@@ -85,6 +85,7 @@ class Ordinal:
 
 
 def _score(model: Ordinal, level: int):
+    @tx.sliced
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = tx.column_bytes(b["text"])

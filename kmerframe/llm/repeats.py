@@ -57,6 +57,7 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def _runs(unit: str, width: int, gram: int):
     schema = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("windows", pa.int32()), ("places", pa.binary())])
 
+    @tx.lean
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, tags = b["doc_id"].to_numpy(zero_copy_only=False), b["tag"].to_numpy(zero_copy_only=False)
@@ -127,6 +128,7 @@ def _settle(rule: str):
         k = np.flatnonzero(k_open)
         yield rows(2, k, first[k])
 
+    @tx.lean
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         rows = 0
@@ -167,6 +169,7 @@ WANTED = ("anchor", "run", "windows", "n", "fdoc", "ftag", "fstart", "hot")
 def _fetch(unit: str, width: int):
     """Contents of the runs asked for: their bytes, or the 64-bit codes of their words."""
 
+    @tx.lean
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = tx.column_bytes(b["text"])
@@ -213,6 +216,7 @@ def _compare(matches: Callable, rule: str):
         s = seg[at]
         return _batch(_RANGES, anchor[s], run[s], off[at].astype(np.int32), length.astype(np.int32), f_doc[at], f_tag[at], f_start[at].astype(np.int32))
 
+    @tx.lean
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
         held = 0
@@ -247,6 +251,7 @@ SPREAD = "anchor long, run long, off int, win long, n long, fdoc long, ftag long
 def _spread(unit: str, width: int):
     schema = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("off", pa.int32()), ("win", pa.int64()), ("n", pa.int64()), ("fdoc", pa.int64()), ("ftag", pa.int64()), ("fstart", pa.int32())])
 
+    @tx.lean
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, cut = tx.column_bytes(b["body"])

@@ -144,6 +144,7 @@ def lpf_matches(width: int):
 
 
 def _cut(width: int, digest: bool, carry: tuple[str, ...] = ("doc_id", "tag")):
+    @tx.sliced
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = tx.column_bytes(b["text"])

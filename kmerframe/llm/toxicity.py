@@ -38,7 +38,6 @@ PRIOR = 0.5  # votes of the closest example that each label has to begin with
 BLOCK = 64
 OFTEN = 1 / 16  # share of the examples from which a term is held by blocks
 TOGETHER = 128  # texts whose nearest examples are sought together
-SLICE = 1024  # texts that are read together
 COUNTED = 1 << 14  # terms whose counts are summed in one row
 LOOK = 20  # bits of a hash by which a term is looked up
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, evidence array<long>"
@@ -116,11 +115,12 @@ def counted(names: Names, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[i
 
 
 def _frequencies(names: np.ndarray):
+    @tx.lean
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = Names(names), np.zeros(len(names), np.int64)
         for b in batches:
-            for k in range(0, b.num_rows, SLICE):
-                for _, _, _, term, _ in counted(table, *plain(b["text"].slice(k, SLICE))):
+            for k in range(0, b.num_rows, tx.SLICE):
+                for _, _, _, term, _ in counted(table, *plain(b["text"].slice(k, tx.SLICE))):
                     total += np.bincount(term, minlength=len(names))
         for part, s in enumerate(range(0, len(names), COUNTED)):
             at = np.flatnonzero(total[s : s + COUNTED])
@@ -297,12 +297,13 @@ class Index:
     def judge(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
         """Scores and nearest examples of texts."""
         got = []
-        for k in range(0, len(texts), SLICE):
-            every = self.vectors(*plain(texts.slice(k, SLICE)))
+        for k in range(0, len(texts), tx.SLICE):
+            every = self.vectors(*plain(texts.slice(k, tx.SLICE)))
             while some := list(islice(every, TOGETHER)):
                 got += self.scores(some)
         return np.array([g[0] for g in got], float), [g[1] for g in got]
 
+    @tx.sliced
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             score, near = self.judge(b["text"])
