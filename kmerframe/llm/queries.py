@@ -18,6 +18,17 @@ QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_source_mixing, op
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES = {
+    "op1_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+r AS (SELECT m FROM k GROUP BY m HAVING count(*) > 1),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM k SEMI JOIN r USING (m)),
+s AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+t AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM s GROUP BY doc_id, run),
+u AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b FROM t),
+v AS (SELECT d.doc_id, h, sum(z - a) AS gone, count(a) AS n, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS kept, max(z) AS last FROM d LEFT JOIN u USING (doc_id) GROUP BY d.doc_id, h)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, n AS n_spans, sha256(unhex(CASE WHEN n = 0 THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM v
+""",
     "op4_debruijn_dedup": f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 k AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
