@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import NO_ID, keyed, written
+from .common import NO_ID, SMALL, keyed, release, written
 from .repeats import repeated, with_spans
 from .suffix_dedup import _ranks
 
@@ -172,10 +172,14 @@ def cut(docs: DataFrame, width: int, hashed: bool) -> DataFrame:
     """doc_id, n_words, n_removed, kept of every document, all spans verified."""
     spans = marked(docs, width)
     kept = written(spans.mapInArrow(_cut_and_ask(width, hashed), CUT), "kept")
+    release(docs.sparkSession)
     place = F.explode("verify").alias("v")
     asked = kept.select(place).select("v.fdoc", "v.ftag", "v.fstart", "v.len", "v.digest").distinct()  # copies of a passage ask once
     by = asked.groupBy(F.col("fdoc").alias("doc_id"), F.col("ftag").alias("tag")).agg(F.collect_list(F.struct("fstart", "len", "digest")).alias("asked"))
-    wrong = written(keyed(docs).join(by, ["doc_id", "tag"]).mapInArrow(_source(width), "fdoc long, ftag long, fstart int, len int, digest binary"), "wrong")
+    by = written(by, "asked")
+    keys = by.select("doc_id", "tag")
+    sources = keyed(docs).join(F.broadcast(keys) if keys.count() <= SMALL else keys, ["doc_id", "tag"], "left_semi")
+    wrong = written(sources.join(by, ["doc_id", "tag"]).mapInArrow(_source(width), "fdoc long, ftag long, fstart int, len int, digest binary"), "wrong")
     if wrong.limit(1).count():
         told = kept.select("doc_id", "tag", place).select("doc_id", "tag", "v.*").join(wrong, ["fdoc", "ftag", "fstart", "len", "digest"])
         told = told.groupBy("doc_id", "tag").agg(F.collect_set(F.struct(*SPAN)).alias("wrong"))

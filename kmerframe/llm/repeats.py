@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import keyed, ship, written
+from .common import keyed, release, ship, written
 
 HOT = 2048
 FLUSH_BYTES = 1 << 20
@@ -114,7 +114,14 @@ def _settle(rule: str):
         k_hot = np.repeat((k_size > HOT) | hot, k_size)
 
         def rows(kind: int, k: np.ndarray, at: np.ndarray):
-            return _batch(_FOUND, np.full(len(k), kind, np.int8), k_anchor[k], k_run[k], k_windows[k].astype(np.int32), n[k], at["doc"].copy(), at["tag"].copy(), at["start"].copy(), first["doc"][k].copy(), first["tag"][k].copy(), first["start"][k].copy(), k_hot[k])
+            # What a kind of row has no use for is 0, which takes no room in the table.
+            none, place = np.zeros(len(k), np.int64), (at["doc"].copy(), at["tag"].copy(), at["start"].copy())
+            source = (first["doc"][k].copy(), first["tag"][k].copy(), first["start"][k].copy())
+            source = (none, none, none.astype(np.int32)) if kind == 1 or (kind == 0 and rule != "smaller") else source
+            name = (none, none) if kind == 0 else (k_anchor[k], k_run[k])
+            size = none if kind == 1 else k_windows[k]
+            many = n[k] if kind == 2 else none
+            return _batch(_FOUND, np.full(len(k), kind, np.int8), *name, size.astype(np.int32), many, *place, *source, k_hot[k])
 
         whole = ~k_open | ((n > 1) & (rule == "all"))  # in the rule "all" an open run with two places is settled too
         p = whole[kind_of]
@@ -280,6 +287,7 @@ def repeated(docs: DataFrame, *, unit: str, width: int, gram: int, matches: Call
     d = keyed(docs)
     runs = d.mapInArrow(_runs(unit, width, gram), RUNS)
     found = written(runs.repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(_settle(rule), FOUND), "runs")
+    release(spark)
     spans = ("doc_id", "tag", "start", "len", "fdoc", "ftag", "fstart")
     settled = found.where("kind = 0").withColumnRenamed("windows", "len").select(*spans)
     # A hot anchor is let through in parts, so that one kind of run may come in several rows.
@@ -287,6 +295,7 @@ def repeated(docs: DataFrame, *, unit: str, width: int, gram: int, matches: Call
     kinds = found.where("kind = 2").groupBy("anchor", "run").agg(F.min("windows").alias("windows"), F.sum("n").alias("n"), first.alias("f"), F.max("hot").alias("hot")).select("anchor", "run", "windows", "n", "f.*", "hot")
     wants = kinds.groupBy(F.col("fdoc").alias("doc_id"), F.col("ftag").alias("tag")).agg(F.collect_list(F.struct(*WANTED)).alias("wants"))
     segments = written(d.join(wants, ["doc_id", "tag"]).select("text", "wants").mapInArrow(_fetch(unit, width), SEGMENTS), "segments")
+    release(spark)
     open_ranges = segments.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(_compare(matches, rule), RANGES)
     hot = segments.where("hot").dropDuplicates(["anchor", "run"])
     if hot.limit(1).count():
