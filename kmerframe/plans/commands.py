@@ -17,6 +17,7 @@ from ..sources import fastx, shuf, store
 from .params import SketchParams
 from .session import written
 
+SMALL = 200_000  # names that are broadcast
 MEASURES = ("cosine", "l1", "l2")  # fixed order of composite -s
 
 
@@ -97,14 +98,21 @@ def compared(query: tuple, ref: tuple, kind: str = "jaccard", level: int = 2, ne
     (q, qn, qm), (r, rn, rm) = query, ref
     store.check_compatible(qm, rm)
     qn, rn = (n.where("n_codes > 0") for n in (qn, rn))
-    found = compare.shared_counts(q, r) if shared is None else shared
+    if shared is not None:
+        found = shared
+    elif q is r:
+        found = compare.all_counts(q)
+    else:
+        found = compare.shared_counts(q, r)
     if all_pairs:
         found = compare.dense(found, qn.select(F.col("gid").alias("qid")), rn.select(F.col("gid").alias("rid")))
-    sized = found.join(qn.select(F.col("gid").alias("qid"), F.col("name").alias("qry"), F.col("n_codes").alias("qry_s")), "qid")
-    sized = sized.join(rn.select(F.col("gid").alias("rid"), F.col("name").alias("ref"), F.col("n_codes").alias("ref_s")), "rid")
+    many = qn.count(), rn.count()
+    few = [F.broadcast(n) if m <= SMALL else n for n, m in zip((qn, rn), many, strict=True)]  # pairs are shuffled no more than needed
+    sized = found.join(few[0].select(F.col("gid").alias("qid"), F.col("name").alias("qry"), F.col("n_codes").alias("qry_s")), "qid")
+    sized = sized.join(few[1].select(F.col("gid").alias("rid"), F.col("name").alias("ref"), F.col("n_codes").alias("ref_s")), "rid")
     d = compare.distances(sized, kind, qm["k"], qm["level"], correction, confidence=level > 0)
     if level > 0:
-        d = compare.p_values(d, qn.count() * rn.count())
+        d = compare.p_values(d, many[0] * many[1])
     d = compare.nearest(d, nearest, most) if nearest else compare.within(d, most)
     extra = (["p_value", "fdr"] if level > 0 else []) + (["m_lo", "m_hi", "d_lo", "d_hi"] if level > 1 else [])
     return d.select("qry", "ref", "shared", "qry_s", "ref_s", "metric", "dist", *extra, "rs")

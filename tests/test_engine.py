@@ -206,6 +206,36 @@ def test_distance_lines(spark):
     assert got == ["q\tr\t0-0|6|5\t0.000000\t1.000000", "q\ts\t0-0|0|0\tnan\tnan"]
 
 
+def test_pairs_are_counted_within_ranges_of_codes(spark, monkeypatch):
+    """Genomes that share many codes of a range reach the shuffle as one row, and nothing is lost at the bounds of batches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(c), int(g)) for c, g in zip(rng.integers(0, 60, 900), rng.integers(0, 25, 900), strict=True)} | {(99, g) for g in range(40)})
+    want: dict[tuple[int, int], int] = {}
+    for c in {c for c, _ in rows}:
+        gids = [g for x, g in rows if x == c]
+        for q in gids:
+            for r in gids:
+                if q < r:
+                    want[q, r] = want.get((q, r), 0) + 1
+    batch = pa.RecordBatch.from_arrays([pa.array([g for _, g in rows]), pa.array([c for c, _ in rows])], ["gid", "code"])
+    for most, chunk, size in ((1 << 18, 1 << 22, 1000), (1, 1, 7), (50, 300, 7), (10, 1 << 22, 1)):
+        monkeypatch.setattr(compare, "ROWS", most)
+        monkeypatch.setattr(compare, "CHUNK", chunk)
+        got = [tuple(r.values()) for b in compare._local_pairs(iter([batch.slice(k, size) for k in range(0, len(rows), size)])) for r in b.to_pylist()]
+        sums: dict[tuple[int, int], int] = {}
+        for q, r, n in got:
+            sums[q, r] = sums.get((q, r), 0) + n
+        assert sums == want and (most < 1000 or len(got) == len(want))
+    s = spark.createDataFrame([(g, c) for c, g in rows] + [(None, 1), (1, None)], "gid long, code long")
+    for hot in (2048, 20):
+        monkeypatch.setattr(compare, "HOT", hot)
+        assert {(r.qid, r.rid): r.shared for r in compare.pair_counts(s).collect()} == want
+    s = s.where("gid is not null and code is not null")
+    assert sorted(compare.all_counts(s).collect()) == sorted(compare.shared_counts(s, s).collect())
+
+
 def test_distance_lines_round_as_c(spark):
     """Near a tie the exact binary value decides: 0.0140625 is below it, 0.0109375 above, k / 128 on it."""
     numbers = [18 / 1280, 14 / 1280, 1 / 128, 3 / 128, -0.0140625, -1e-9, 0.0, 1.0, 2.5e-6, 123456.5e-9, 1.2345675e-5, 9.9999995e-7, 1e-200, 3e5]
