@@ -273,6 +273,24 @@ def _spread(unit: str, width: int):
     return go
 
 
+def _series(rule: str):
+    """Ranges of one window each, in order of anchor, run and offset, to ranges of series, but for the bounds of batches."""
+
+    @tx.lean
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            anchor, run, off, fdoc, ftag, fstart = (b[c].to_numpy() for c in ("anchor", "run", "off", "fdoc", "ftag", "fstart"))
+            new = np.r_[True, (anchor[1:] != anchor[:-1]) | (run[1:] != run[:-1]) | (off[1:] != off[:-1] + 1)]
+            if rule != "all":  # which copy is first matters
+                new[1:] |= (fdoc[1:] != fdoc[:-1]) | (ftag[1:] != ftag[:-1]) | (fstart[1:] != fstart[:-1] + 1)
+            at = np.flatnonzero(new)
+            yield _batch(_RANGES, anchor[at], run[at], off[at], np.diff(np.r_[at, b.num_rows]).astype(np.int32), fdoc[at], ftag[at], fstart[at])
+
+    return go
+
+
 def repeated(docs: DataFrame, *, unit: str, width: int, gram: int, matches: Callable, rule: str) -> DataFrame:
     """(doc_id, tag, start, len, fdoc, ftag, fstart): series of windows of `keyed(docs)` that the rule removes,
     and where (but under "all") an earlier copy of each starts.
@@ -301,8 +319,9 @@ def repeated(docs: DataFrame, *, unit: str, width: int, gram: int, matches: Call
     if hot.limit(1).count():
         spread = hot.mapInArrow(_spread(unit, width), SPREAD)
         least = spread.groupBy("anchor", "win").agg(F.sum("n").alias("n"), first.alias("f")).where("n > 1").select("anchor", "win", "f.*")
-        met = spread.select("anchor", "run", "off", "win").join(least, ["anchor", "win"])
-        open_ranges = open_ranges.unionByName(met.select("anchor", "run", "off", F.lit(1).alias("len"), "fdoc", "ftag", "fstart"))
+        met = spread.select("anchor", "run", "off", "win").join(least, ["anchor", "win"]).select("anchor", "run", "off", "fdoc", "ftag", "fstart")
+        series = met.repartition("anchor", "run").sortWithinPartitions("anchor", "run", "off").mapInArrow(_series(rule), RANGES)
+        open_ranges = open_ranges.unionByName(series)  # a row a series, not a window, meets the places below
     waiting = found.where("kind = 1").select("anchor", "run", "doc_id", "tag", "start")
     met = waiting.join(open_ranges, ["anchor", "run"]).withColumn("start", F.col("start") + F.col("off"))
     if rule == "first":

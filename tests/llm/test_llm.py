@@ -143,6 +143,18 @@ def test_hot_anchors_take_the_other_way(data, monkeypatch):
     assert sorted(map(tuple, dbg.marked(df).mapInArrow(dbg._cut(13, True), "doc_id long, n_words long, n_removed long, kept_sha256 string").collect())) == brute_words(rows, 13)
 
 
+def test_windows_of_hot_anchors_meet_places_as_series():
+    """A row a series of windows, not one a window; a source that jumps ends a series where the first copy matters."""
+    import pyarrow as pa
+
+    names = ["anchor", "run", "off", "fdoc", "ftag", "fstart"]
+    rows = [(1, 1, k, 5, 0, 40 + k) for k in range(300)] + [(1, 1, k, 6, 0, k) for k in range(300, 310)] + [(1, 1, 400, 6, 0, 100), (1, 2, 401, 6, 0, 101)]
+    b = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names)
+    got = {rule: [tuple(r[c] for c in ("run", "off", "len", "fdoc", "fstart")) for x in repeats._series(rule)(iter([b])) for r in x.to_pylist()] for rule in ("all", "smaller")}
+    assert got["all"] == [(1, 0, 310, 5, 40), (1, 400, 1, 6, 100), (2, 401, 1, 6, 101)]
+    assert got["smaller"] == [(1, 0, 300, 5, 40), (1, 300, 10, 6, 300), (1, 400, 1, 6, 100), (2, 401, 1, 6, 101)]
+
+
 def shingle_set(t):
     w = (t or "").encode().split()
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
