@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.session import ship, written  # noqa: F401
+from ..plans.session import release, ship, written  # noqa: F401
 from . import textops as tx
 
 SMALL = 200_000  # rows of a few numbers that are broadcast at most; more are joined by a shuffle
 NO_ID = -(2**63)  # stands for a null id in internal keys; it orders first
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished queries now, not when the driver next collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def filtered(docs: DataFrame, keeps) -> DataFrame:
     """The rows of `docs` for which keeps(texts) is true: decided by row, whatever the ids."""
 

@@ -10,7 +10,6 @@ an anchor occurrence: runs are the unit of shuffling, some 1 / (width - gram) of
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
 
@@ -19,10 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from ..functions.memory import lean
+
 U = np.uint64
 CHUNK_BYTES = 1 << 20
 SLICE = 1024  # rows of a batch of texts that are worked on together
-MAPPED = 4 << 20  # bytes from which an array is mapped, and so given back to the system when it is freed
 POS_BITS = U(28)  # a chunk, and so a document, has fewer tokens than 2^28
 POS_MASK = (U(1) << POS_BITS) - U(1)
 LONG_WORD = 256
@@ -34,28 +34,6 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE_CODES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64)
 
 
-def _libc(name: str, *args: int) -> None:
-    """Calls glibc where there is one."""
-    f = getattr(ctypes.CDLL(None), name, None)
-    if f is not None:
-        f(*args)
-
-
-def lean(go: Callable) -> Callable:
-    """For functions over Arrow batches: a reused worker gives back the memory that a task needed."""
-
-    @wraps(go)
-    def run(*args) -> Iterator[pa.RecordBatch]:
-        _libc("mallopt", -3, MAPPED)
-        try:
-            yield from go(*args)
-        finally:
-            pa.default_memory_pool().release_unused()
-            _libc("malloc_trim", 0)
-
-    return run
-
-
 def sliced(go: Callable) -> Callable:
     """As lean, and batches come in slices: for functions that treat rows one by one."""
 

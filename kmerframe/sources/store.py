@@ -33,11 +33,11 @@ def write_distances(dist: DataFrame, path: str) -> None:
     dist.write.option("sep", "\t").option("header", True).csv(path)
 
 
-def write_distance_table(found: DataFrame, path: str, kind: str = "jaccard", level: int = 2) -> None:
-    """A folder of text: the heading in its first file, then a line per pair."""
+def write_distance_table(found: DataFrame, path: str, kind: str = "jaccard", level: int = 2, **options: str) -> None:
+    """A folder of text, written with options of Spark's writer: the heading in its first file, then a line per pair."""
     head = found.sparkSession.createDataFrame([(heading(kind, level),)], "value string")
-    head.coalesce(1).write.text(path)
-    lines(found, level).select(F.col("line").alias("value")).write.mode("append").text(path)
+    head.coalesce(1).write.options(**options).text(path)
+    lines(found, level).select(F.col("line").alias("value")).write.mode("append").options(**options).text(path)
 
 
 def write_kmers(decoded: DataFrame, names: DataFrame, path: str) -> None:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from kmerframe.functions import sequence as sq
 from kmerframe.operators import compare, coverage, decode, lookups, profile, setops, sketch
-from kmerframe.plans import catalogue
+from kmerframe.plans import catalogue, roundtrips
 from kmerframe.plans.params import SketchParams
+from kmerframe.sources import fastx, store
 
 P = SketchParams(k=8, subk=4, level=1)
 
@@ -255,6 +256,39 @@ def test_nearest_without_a_shuffle_of_pairs(spark, monkeypatch):
     assert got == want and len(got) > 400
 
 
+def test_distance_table_shuffles_each_pair_once(spark, tmp_path, monkeypatch):
+    """The table's pairs are counted before their only shuffle, its text is compressed, and its lines are those of all pairs."""
+    rng = np.random.default_rng(7)
+    rows = [(int(g), int(c)) for g, c in zip(rng.integers(0, 30, 900), rng.integers(0, 50, 900), strict=True)] * 2 + [(g, 100) for g in range(40)] + [(None, 1), (1, None), (50, None), (60, 200)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found, paths = [], []
+    write = store.write_distance_table
+    monkeypatch.setattr(store, "write_distance_table", lambda f, path, *a, **b: (found.append(f), paths.append(path), write(f, path, *a, **b)))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = sorted(r.line for r in roundtrips.distance_table(spark, str(tmp_path)).collect())
+        plan = found[0]._jdf.queryExecution().sparkPlan().toString()
+        joined = [x for x in found[0]._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x and ("qid" in x or "rid" in x)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    b = spark.read.parquet(f"{tmp_path}/lineitem.parquet").selectExpr("l_suppkey AS gid", "l_partkey AS code").distinct()
+    pairs = compare.with_sizes(compare.shared_counts(b, b, ordered=True), b, b)
+    want = compare.lines(compare.distances(pairs).withColumn("qry", F.col("qid")).withColumn("ref", F.col("rid")), 0)
+    assert got == sorted([compare.heading("jaccard", 0), *(r.line for r in want.collect())]) and len(got) == 1 + 40 * 39 // 2
+    assert len(joined) == 1 and "SortMergeJoin [qid" not in plan and "SortMergeJoin [rid" not in plan
+    path, fs = fastx._hadoop(spark, paths[0])
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    assert names and all(x.endswith(".gz") for x in names if x.startswith("part-"))
+
+
+def test_far_numbers_of_distance_lines(spark):
+    far = [float("nan"), float("inf"), float("-inf"), 0.5]
+    p = spark.createDataFrame([("q", str(k), 3, 5, 6, x, 2.9, x, x, x) for k, x in enumerate(far)], "qry string, ref string, shared long, qry_s long, ref_s long, metric double, rs double, dist double, p_value double, fdr double")
+    got = [r.line.split("\t")[2:] for r in compare.lines(p, 1).orderBy("ref").collect()]
+    assert got == [["3-2|6|5", x, x, y, y] for x, y in (("nan", "nan"), ("inf", "inf"), ("-inf", "-inf"), ("0.500000", "5.000000E-01"))]
+
+
 def test_distance_lines_round_as_c(spark):
     """Near a tie the exact binary value decides: 0.0140625 is below it, 0.0109375 above, k / 128 on it."""
     numbers = [18 / 1280, 14 / 1280, 1 / 128, 3 / 128, -0.0140625, -1e-9, 0.0, 1.0, 2.5e-6, 123456.5e-9, 1.2345675e-5, 9.9999995e-7, 1e-200, 3e5]
